@@ -42,7 +42,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "uncompressed").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
