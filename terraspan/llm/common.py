@@ -76,6 +76,31 @@ def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
 
 
+#: Keys that a broadcast screen holds at most, at two bytes each.
+SCREEN_KEYS = 30_000_000
+_BITMAP = 32_768
+
+
+def screen(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``keys`` (one column of that name): all that are and about 1 in 16 others.
+
+    The screen is a bitmap of 16 bits a key, broadcast in pieces of 4 KB, so
+    that a wide table needn't be shuffled to meet a few keys. With more keys
+    than SCREEN_KEYS nothing is screened: the join behind it decides alone.
+    """
+    n = keys.count()
+    if n > SCREEN_KEYS:
+        return df
+    pieces = max(1, math.ceil(n * 16 / _BITMAP))
+    place = F.pmod(F.xxhash64(column), F.lit(pieces * _BITMAP))
+    put = keys.select(F.floor(place / _BITMAP).alias("_piece"), F.bitmap_bit_position(place % _BITMAP + 1).alias("_bit"))
+    bits = put.groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bit = place % _BITMAP
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = df.withColumn("_piece", F.floor(place / _BITMAP)).join(F.broadcast(bits), "_piece")
+    return met.filter(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).drop("_piece", "_bits")
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

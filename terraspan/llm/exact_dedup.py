@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks_for, materialize, mix64
+from .common import screen as screen_rows
 
 #: Digests in a bucket of a snapshot, on average.
 BUCKET_KEYS = 200_000
@@ -133,7 +134,8 @@ def group(digested: DataFrame) -> DataFrame:
 
 def snapshot(docs: DataFrame, digested: DataFrame, bucket_keys: int = BUCKET_KEYS) -> Snapshot:
     groups = materialize(group(digested), "snapshot_groups")
-    buckets = blocks_for(groups.count(), bucket_keys) * 4
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * parts, blocks_for(groups.count(), bucket_keys))
     groups = groups.withColumn("bucket", _bucket(buckets))
     filters = materialize(
         groups.select("bucket", "digest").groupBy("bucket").applyInPandas(_filter_of, "bucket int, seed int, length int, segments int, slots binary"), "snapshot_filters"
@@ -155,16 +157,19 @@ def confirmed(hits: DataFrame, base: Snapshot, incoming: DataFrame) -> DataFrame
     )
     exact = materialize(exact, "exact_hits")
     blob = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    # one text of each side for each positive group; a text is taken by id and digest, so rows that share an id don't mix
-    side = lambda docs, who, name: (
-        docs.select(F.col("doc_id").alias(who), blob.alias(name))
-        .join(exact.select(who, "digest"), who)
-        .filter(F.unhex(F.sha2(name, 256)) == F.col("digest"))
-        .groupBy("digest")
-        .agg(F.max(name).alias(name))
-    )
+
+    def side(docs: DataFrame, who: str, name: str) -> DataFrame:
+        """One text for each positive group. Others are screened off before the join, which so moves few texts."""
+        rows = screen_rows(docs.select(F.col("doc_id").alias(who), blob.alias(name)), who, exact.select(who).filter(F.col(who).isNotNull()))
+        # by id and digest, so that rows that share an id don't mix
+        same = rows.join(exact.select(who, "digest"), who).filter(F.unhex(F.sha2(name, 256)) == F.col("digest"))
+        return same.groupBy("digest").agg(F.max(name).alias(name))
+
     both = side(incoming, "keep_id", "new_bytes").join(side(base.texts, "snap_id", "old_bytes"), "digest")
-    return exact.join(both.filter("new_bytes = old_bytes").select("digest"), "digest").select("digest", "snap_id", "snap_n")
+    checked = both.filter("new_bytes = old_bytes").select("digest")
+    # a group without any id has no row to fetch; its digest decides
+    checked = checked.unionByName(exact.filter("keep_id is null or snap_id is null").select("digest"))
+    return exact.join(checked, "digest").select("digest", "snap_id", "snap_n")
 
 
 def deduplicate(docs: DataFrame, arrived: Column | None = None) -> DataFrame:
