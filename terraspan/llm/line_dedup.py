@@ -19,7 +19,7 @@ LOG_REGISTERS = 12
 
 def normal_line(line: Column) -> Column:
     """White space at both ends off (ASCII kinds), case kept."""
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.trim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def line_hash(line: Column) -> Column:
@@ -60,15 +60,14 @@ def remove_boilerplate(docs: DataFrame, *, min_sites: int = 5) -> DataFrame:
     replaced; an empty table gives an empty one.
     """
     docs = docs.drop("n_lines", "n_removed", "_gone")
-    lines = exploded(docs)
+    lines = materialize(exploded(docs), "lines")  # hashes only; the text is split once for them and once for the result
     bad = materialize(boilerplate(lines, min_sites), "boilerplate")
     # only (doc_id, hash) of lines that go is collected, never text
     gone = lines.select("doc_id", "a", "b").join(bad, ["a", "b"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
     gone = gone.withColumnRenamed("doc_id", "_id")
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left").drop("_id")
-    parts = lines_of(F.col("text"))
+    parts, touched = lines_of(F.col("text")), F.col("_gone").isNotNull() & F.col("text").isNotNull()
     kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), line_hash(x)), F.lit(False)))
-    left = F.when(F.col("_gone").isNull(), parts).otherwise(kept)
-    out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)))
-    out = out.withColumn("n_removed", F.when(F.col("text").isNull() | F.col("_gone").isNull(), 0).otherwise(F.size(parts) - F.size(left)))
-    return out.withColumn("text", F.when(F.col("text").isNull() | F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop("_gone")
+    out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))).withColumn("_kept", F.when(touched, kept))
+    out = out.withColumn("n_removed", F.when(touched, F.col("n_lines") - F.size("_kept")).otherwise(0))
+    return out.withColumn("text", F.when(touched, F.array_join("_kept", "\n")).otherwise(F.col("text"))).drop("_gone", "_kept")
