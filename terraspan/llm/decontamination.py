@@ -97,11 +97,19 @@ class Index:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.known >> np.uint64(42)] = True
         self.total = [float(self.weight(s).sum()) for s in self.shingles]
-        self.tables = {}
-        for n, own in self.by_length.items():
-            prints = np.stack([fingerprints(self.ids[k], np.zeros(1, np.int64), n)[0] for k in own])
-            order = np.argsort(prints, axis=0, kind="stable")
-            self.tables[n] = (prints, order, np.take_along_axis(prints, order, axis=0), min(self.total[k] for k in own))
+        self.least = {n: min(self.total[k] for k in own) for n, own in self.by_length.items()}
+        # known shingle -> lengths of the items that hold it
+        pairs = np.unique(np.array([(at, len(self.ids[k])) for k, u in enumerate(per_item) for at in np.searchsorted(self.known, u)], np.int64).reshape(-1, 2), axis=0)
+        self.lengths = pairs[:, 1]
+        self.lengths_at = np.searchsorted(pairs[:, 0], np.arange(len(self.known) + 1))
+        # 16-bit value of a block -> items, as offsets into an order, for each block
+        self.length = np.array([len(i) for i in self.ids], np.int64)
+        whole = np.flatnonzero(self.length)
+        self.prints = np.zeros((len(self.ids), BLOCKS), np.uint16)
+        for k in whole:
+            self.prints[k] = fingerprints(self.ids[k], np.zeros(1, np.int64), int(self.length[k]))[0]
+        self.order = [whole[np.argsort(self.prints[whole, b], kind="stable")] for b in range(BLOCKS)]
+        self.offsets = [np.searchsorted(self.prints[self.order[b], b], np.arange((1 << 16) + 1)) for b in range(BLOCKS)]
         self.ready = True
 
     def _ids(self, words: list[str]) -> np.ndarray:
@@ -114,20 +122,34 @@ class Index:
         return np.log1p(len(self.items) / df)
 
     def near(self, prints: np.ndarray, n: int) -> list[tuple[int, int]]:
-        """(window, item) of all fingerprints within the radius, by the block tables."""
-        own, order, keys, _ = self.tables[n]
-        pairs: set[tuple[int, int]] = set()
+        """(window, item) of all items of ``n`` words within the radius, by the block tables."""
+        windows, items = [], []
         for b in range(BLOCKS):
-            probe = prints[:, b, None] ^ _FLIPS[None, :]
-            low = np.searchsorted(keys[:, b], probe, side="left")
-            high = np.searchsorted(keys[:, b], probe, side="right")
-            for w, f in zip(*np.nonzero(high > low), strict=True):
-                pairs.update((int(w), int(order[j, b])) for j in range(low[w, f], high[w, f]))
-        if not pairs:
-            return []
-        w, k = (np.array(x) for x in zip(*sorted(pairs), strict=True))
-        apart = np.bitwise_count(prints[w] ^ own[k]).sum(axis=1)
-        return [(int(i), self.by_length[n][int(j)]) for i, j, a in zip(w, k, apart, strict=True) if a <= RADIUS]
+            probe = (prints[:, b, None] ^ _FLIPS[None, :]).astype(np.int64)
+            low, high = self.offsets[b][probe], self.offsets[b][probe + 1]
+            w, f = np.nonzero(high > low)
+            low, count = low[w, f], (high - low)[w, f]
+            place = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            found = self.order[b][place]
+            same = self.length[found] == n
+            windows.append(np.repeat(w, count)[same])
+            items.append(found[same])
+        pairs = np.unique(np.stack([np.concatenate(windows), np.concatenate(items)], axis=1), axis=0)
+        apart = np.bitwise_count(prints[pairs[:, 0]] ^ self.prints[pairs[:, 1]]).sum(axis=1, dtype=np.int64)
+        return [(int(w), int(k)) for w, k in pairs[apart <= RADIUS]]
+
+    def hits(self, hashes: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each item length, the places (ascending) and weights of shingles that items of that length hold."""
+        may = np.flatnonzero(self.bits[hashes >> np.uint64(42)])
+        if not len(may):
+            return {}
+        at = np.minimum(np.searchsorted(self.known, hashes[may]), len(self.known) - 1)
+        sure = self.known[at] == hashes[may]
+        may, at = may[sure], at[sure]
+        count = self.lengths_at[at + 1] - self.lengths_at[at]
+        place = np.repeat(self.lengths_at[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        length, where, weight = self.lengths[place], np.repeat(may, count), np.repeat(self.weight(hashes[may]), count)
+        return {int(n): (where[length == n], weight[length == n]) for n in np.unique(length)}
 
     def search(self, text: str | None) -> list[tuple[int, int, float]]:
         """(item_id, first word, similarity) of the best window for each item that the text holds."""
@@ -137,36 +159,27 @@ class Index:
             return []
         ids = self._ids(words_of(text))
         best: dict[int, tuple[float, int]] = {}
-        held: dict[int, np.ndarray] = {}
-        for n in self.by_length:
-            width = min(n, len(ids))
-            k = min(SHINGLE, n)
-            if width < k:
-                continue
-            if k not in held:
-                hashes = shingle_hashes(ids, k)
-                weight = np.zeros(len(hashes))
-                may = np.flatnonzero(self.bits[hashes >> np.uint64(42)])
-                if len(may):
-                    h = hashes[may]
-                    at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-                    sure = may[self.known[at] == h]
-                    weight[sure] = self.weight(hashes[sure])
-                held[k] = np.concatenate([[0.0], np.cumsum(weight)]) if weight.any() else np.zeros(0)
-                held[-k] = hashes
-            sums = held[k]
-            if not len(sums):
+        for k in range(1, SHINGLE + 1):
+            own = [n for n in self.by_length if min(n, SHINGLE) == k]
+            if not own or len(ids) < k:
                 continue
-            least = self.tables[n][3] * SIMILARITY * (1 - 1e-9)
-            inside = sums[width - k + 1 :] - sums[: len(sums) - (width - k + 1)]
-            starts = np.flatnonzero(inside >= least)
-            for block in (starts[i : i + 512] for i in range(0, len(starts), 512)):
-                for part in np.split(block, np.flatnonzero(np.diff(block) > 4 * width) + 1):
-                    for w, item in self.near(fingerprints(ids, part, width), n):
-                        start = int(part[w])
-                        s = weighted_similarity(held[-k][start : start + width - k + 1], self.shingles[item], self.weight)
-                        if s >= SIMILARITY and (item not in best or s > best[item][0] + 1e-12):
-                            best[item] = (s, start)
+            hashes = shingle_hashes(ids, k)
+            for n, (where, weight) in self.hits(hashes).items():
+                if min(n, SHINGLE) != k:
+                    continue
+                width = min(n, len(ids))
+                sums = np.zeros(len(hashes) + 1)
+                sums[where + 1] = weight
+                np.cumsum(sums, out=sums)
+                inside = sums[width - k + 1 :] - sums[: len(sums) - (width - k + 1)]
+                starts = np.flatnonzero(inside >= self.least[n] * SIMILARITY * (1 - 1e-9))
+                for block in (starts[i : i + 64] for i in range(0, len(starts), 64)):
+                    for part in np.split(block, np.flatnonzero(np.diff(block) > 4 * width) + 1):
+                        for w, item in self.near(fingerprints(ids, part, width), n):
+                            start = int(part[w])
+                            s = weighted_similarity(hashes[start : start + width - k + 1], self.shingles[item], self.weight)
+                            if s >= SIMILARITY and (item not in best or s > best[item][0] + 1e-12):
+                                best[item] = (s, start)
         return sorted((self.items[i][0], start, s) for i, (s, start) in best.items())
 
 
