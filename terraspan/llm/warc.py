@@ -1,7 +1,7 @@
 """WARC records in ZIP packages, read back by range.
 
 A package is a ZIP archive whose members are stored, not compressed:
-``archive/data.warc`` with the records and ``indexes/index.cdxj`` with one line a
+``archive/data.warc.gz`` with the records, each a gzip member of its own, and ``indexes/index.cdxj`` with one line a
 record (offset and length inside the member). The reader parses the end record,
 the ZIP64 locator and end record where there are any, and the central directory;
 finds where each member's bytes begin from its local header; and fetches
@@ -13,6 +13,7 @@ task has reported it, so what a lost executor leaves is never read.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import json
@@ -32,9 +33,11 @@ from .common import materialize, shared_path
 
 #: Payloads from this length on are stored once.
 LEAST_SHARED = 100
-#: Bytes of records in a package.
-PACKAGE_BYTES = 16 << 20
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+#: Repeated payloads (of about 100 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 500_000
+#: Bytes of compressed records in a package.
+PACKAGE_BYTES = 8 << 20
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 # Signatures and sizes of ZIP structures, from the public APPNOTE.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -206,7 +209,7 @@ def parse_record(data: bytes) -> Record:
 
 
 def pack(records: list[tuple[int | None, bytes]]) -> bytes:
-    """A package of these (page_id, record)s."""
+    """A package of these (page_id, compressed record)s."""
     out, lines, at = io.BytesIO(), [], 0
     for page_id, data in records:
         lines.append(json.dumps({"page_id": page_id, "offset": at, "length": len(data)}))
@@ -230,7 +233,8 @@ def open_package(uri: str) -> Package:
 def records(package: Package) -> Iterator[Record]:
     for line in package.read(INDEX).decode("utf-8").splitlines():
         entry = json.loads(line)
-        yield parse_record(package.read(DATA, entry["offset"], entry["length"]))
+        data = package.read(DATA, entry["offset"], entry["length"])
+        yield parse_record(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
 
 
 def deduplicated(pages: DataFrame) -> DataFrame:
@@ -238,8 +242,10 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     narrow = materialize(pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")), "payloads")
     several = narrow.filter(F.col("n") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    # only (digest, first page) of repeated payloads meets the pages
-    joined = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest")).join(several.select("digest", "first"), "digest", "left")
+    several = materialize(several.select("digest", "first"), "repeated_payloads")
+    # only (digest, first page) of repeated payloads meets the pages; they are broadcast while they are few, so that no page is shuffled
+    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several.hint("merge")
+    joined = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest")).join(several, "digest", "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
@@ -268,7 +274,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for page_id, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append((page_id, record(page_id, url, payload, digest, first)))
+                held.append((page_id, gzip.compress(record(page_id, url, payload, digest, first), 6, mtime=0)))
                 size += len(held[-1][1])
                 if size >= PACKAGE_BYTES:
                     yield save(held)
