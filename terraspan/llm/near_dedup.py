@@ -10,13 +10,14 @@ similarity with concentration bounds as for independent hashes.
 
 Documents with the same set form a class, and one document of each class goes
 on. Sketches are cut into BANDS bands of ROWS coordinates; at similarity 0.75
-two sets miss each other in all bands with a chance of 4 in a million. Links are
+two sets miss each other in all bands with a chance of 2 in a million. Links are
 confirmed on full sets:
 
 1. every member of a bucket against the bucket's smallest id, linear in the bucket;
-2. in buckets whose members are not connected by then, each document against
-   the most alike member of each other component;
-3. in buckets still not connected, every remaining pair between components.
+2. in buckets whose members are not connected by then, a spanning forest of the
+   most alike pairs between components, linear in the bucket again;
+3. in buckets still not connected, every remaining pair between components,
+   each in the first band that holds it.
 
 Steps 2 and 3 skip pairs whose sizes or sketches exclude the similarity (sketches
 by five standard deviations). Components are found on the cluster, by
@@ -33,15 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordIds, ascii_words, materialize, mix64, shingle_hashes
+from .common import GOLDEN, WordIds, ascii_words, materialize, mix64, screen, shingle_hashes
 
-BANDS, ROWS = 64, 6
+BANDS, ROWS = 48, 5
 COORDINATES = BANDS * ROWS
 PERCENT = 75
 #: Coordinates of 8 bits that agree for any pair of the similarity, less five standard deviations.
 AGREE = int(COORDINATES * (0.75 - 5 * (0.75 * 0.25 / COORDINATES) ** 0.5))
 #: Members of a bucket that one task compares with each other; larger ones are cut.
 BLOCK_MEMBERS = 2048
+#: Shingles of a chunk of a bucket, at 8 bytes each.
+BLOCK_ELEMENTS = 4_000_000
+#: The low bits of a bucket's key tell its band.
+BAND_MASK = 63
 _VALUE = np.uint64((1 << 40) - 1)
 
 
@@ -74,7 +79,7 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
         keys = np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN
         for j in range(ROWS):
             keys = mix64(keys ^ rows[:, j])
-    return keys.view(np.int64)
+    return ((keys & ~np.uint64(BAND_MASK)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,12 +123,18 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def element_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, elements) of those documents; only their texts move."""
+    ids = materialize(ids.distinct(), "to_verify")
+    texts = screen(docs.select(F.col("doc_id").alias("id"), "text"), "id", ids).join(ids.hint("merge"), "id", "left_semi")
+    return materialize(texts.mapInArrow(_sets, "id long, elements binary"), "sets")
+
+
 def verify(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``edges`` (a, b) whose full sets reach the similarity. Only texts with an edge are read again."""
-    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets, "id long, elements binary"), "sets")
-    pairs = edges.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b").join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a")
+    """Those of ``edges`` (a, b) whose full sets reach the similarity."""
+    sets = element_sets(edges.select(F.explode(F.array("a", "b")).alias("id")), docs)
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("elements").alias(f"e{x}")).hint("merge")  # noqa: E731  grows with the data
+    pairs = edges.join(side("b"), "b").join(side("a"), "a")
     return materialize(pairs.select("a", "b", "ea", "eb").mapInArrow(_linked, "a long, b long"), "links")
 
 
@@ -156,50 +167,126 @@ def components(edges: DataFrame) -> DataFrame:
     return found.select(F.col("v").alias("id"), F.col("p").alias("component"))
 
 
-def _cross(best_only: bool):
-    """Compares the members of one block of a bucket across components, by sizes and sketches alone."""
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").sort_values("id")
-        ids, comp, n = (group[c].to_numpy() for c in ("id", "component", "n"))
-        half = group["chunk"].to_numpy()
+def _forest(comp: np.ndarray, a: np.ndarray, b: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Indices of the pairs (a, b) of a spanning forest of the components, the most alike first, by rounds of best choices."""
+    label, keep = comp.copy(), []
+    order = np.lexsort((b, a, -alike))
+    while True:
+        la, lb = label[a[order]], label[b[order]]
+        order = order[la != lb]
+        if not len(order):
+            return np.unique(np.array(keep, np.int64))
+        la, lb = label[a[order]], label[b[order]]
+        _, first = np.unique(np.stack([la, lb], axis=1).ravel(), return_index=True)  # each component's best pair, ties in one order for all
+        chosen = np.unique(order[first // 2])
+        keep += chosen.tolist()
+        root = {int(x): int(x) for x in np.unique(label)}
+
+        def find(x: int, root: dict[int, int] = root) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i in chosen:
+            x, y = find(int(label[a[i]])), find(int(label[b[i]]))
+            root[max(x, y)] = min(x, y)
+        values, where = np.unique(label, return_inverse=True)
+        label = np.array([find(int(v)) for v in values])[where]
+
+
+class _Block:
+    """The members of one block of a bucket, and the pairs between its components that sizes and sketches admit."""
+
+    def __init__(self, group: pd.DataFrame, first_band_only: bool):
+        self.group = group = group.drop_duplicates("id").sort_values("id")
+        self.ids, self.comp = group["id"].to_numpy(), group["component"].to_numpy()
+        n, half = group["n"].to_numpy(), group["chunk"].to_numpy()
         bits = np.frombuffer(b"".join(group["bits"]), np.uint8).reshape(len(group), COORDINATES)
-        values, sizes = np.unique(comp, return_counts=True)
+        band = int(group["key"].iloc[0]) & BAND_MASK
+        values, sizes = np.unique(self.comp, return_counts=True)
         largest = values[np.argmax(sizes)]
-        lower, upper = group["low"].iloc[0], group["high"].iloc[0]
-        a, b = [], []
-        for i in np.flatnonzero(comp != largest):  # pairs between two outliers are met from both sides
-            other = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
-            if lower != upper:
+        apart = group["low"].iloc[0] != group["high"].iloc[0]
+        a, b, alike = [], [], []
+        for i in np.flatnonzero(self.comp != largest):  # a pair of two outliers is met once, from its smaller id
+            other = (self.comp != self.comp[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
+            other[:i] &= self.comp[:i] == largest
+            if apart:
                 other &= half != half[i]
             at = np.flatnonzero(other)
             if not len(at):
                 continue
-            same = (bits[at] == bits[i]).sum(axis=1)
-            at, same = at[same >= AGREE], same[same >= AGREE]
-            if best_only and len(at):
-                order = np.lexsort((at, -same))
-                _, first = np.unique(comp[at[order]], return_index=True)
-                at = at[order][first]
-            a += [min(ids[i], ids[j]) for j in at]
-            b += [max(ids[i], ids[j]) for j in at]
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}).drop_duplicates()
+            equal = bits[at] == bits[i]
+            same = equal.sum(axis=1)
+            good = same >= AGREE
+            if first_band_only and band:
+                good &= ~equal[:, : band * ROWS].reshape(len(at), band, ROWS).all(axis=2).any(axis=1)
+            a.append(np.full(good.sum(), i))
+            b.append(at[good])
+            alike.append(same[good])
+        self.a, self.b, self.alike = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, alike))
+
+    def edges(self, own: np.ndarray) -> pd.DataFrame:
+        x, y = self.ids[self.a[own]], self.ids[self.b[own]]
+        return pd.DataFrame({"a": np.minimum(x, y).astype(np.int64), "b": np.maximum(x, y).astype(np.int64)})
+
+
+def _spanning(group: pd.DataFrame) -> pd.DataFrame:
+    block = _Block(group, first_band_only=False)
+    return block.edges(_forest(block.comp, block.a, block.b, block.alike) if len(block.a) else np.zeros(0, np.int64))
+
+
+def _involved(group: pd.DataFrame) -> pd.DataFrame:
+    """Members of the block that have any pair to be looked at."""
+    block = _Block(group, first_band_only=True)
+    return block.group.iloc[np.unique(np.concatenate([block.a, block.b]).astype(np.int64))]
 
-    return compare
 
+def _confirmed(group: pd.DataFrame) -> pd.DataFrame:
+    """Links on full sets that connect the block's components, the most alike first; pairs already connected needn't be looked at."""
+    block = _Block(group, first_band_only=True)
+    sets = [np.frombuffer(e, np.uint64) for e in block.group["elements"]]
+    label, keep = block.comp.copy(), []
+    for k in np.lexsort((block.b, block.a, -block.alike)):
+        i, j = block.a[k], block.b[k]
+        if label[i] != label[j]:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both):
+                keep.append(k)
+                label[label == label[j]] = label[i]
+    return block.edges(np.array(keep, np.int64))
 
-def cross_pairs(members: DataFrame, bits: DataFrame, comps: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs (a, b) between components inside buckets that hold several; ``members``: key, id, n."""
+
+_BLOCK = ["key", "low", "high"]
+_MEMBER = "key long, low int, high int, id long, component long, n long, chunk int, bits binary"
+
+
+def mixed_blocks(members: DataFrame, bits: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, cut into blocks; ``members``: key, id, n. Every pair of a bucket shares a block."""
     labelled = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(
-        F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("i0"), F.max("id").alias("i1")
+        F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("i0"), F.max("id").alias("i1"),
     ).filter("c0 < c1")
-    mixed = mixed.groupBy("m", "x", "i0", "i1").agg(F.min("key").alias("key"))  # bands often agree on a bucket
-    cut = mixed.select("key", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("chunks"))
-    rows = labelled.join(cut, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    rows = rows.join(bits, "id").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.withColumn("low", F.least("chunk", "with")).withColumn("high", F.greatest("chunk", "with")).drop("with", "chunks")
-    return rows.groupBy("key", "low", "high").applyInPandas(_cross(best_only), "a long, b long").distinct()
+    band = F.col("key").bitwiseAND(F.lit(BAND_MASK))
+    # bands often agree on a bucket: the first one of them stands for all
+    mixed = mixed.groupBy("m", "size", "x", "i0", "i1").agg(F.min(F.struct(band.alias("band"), "key")).alias("first"))
+    chunks = F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("size") / BLOCK_ELEMENTS)).cast("int")
+    rows = labelled.join(mixed.select(F.col("first.key").alias("key"), chunks.alias("chunks")).hint("merge"), "key")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).join(bits.hint("merge"), "id")
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return rows.select("key", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "id", "component", "n", "chunk", "bits")
+
+
+def spanning_pairs(members: DataFrame, bits: DataFrame, comps: DataFrame) -> DataFrame:
+    """Step 2: pairs (a, b) to verify."""
+    return mixed_blocks(members, bits, comps).groupBy(*_BLOCK).applyInPandas(_spanning, "a long, b long").distinct()
+
+
+def remaining_links(members: DataFrame, bits: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Step 3: links between components. Blocks are met by the full sets of just those members that have a pair left."""
+    left = materialize(mixed_blocks(members, bits, comps).groupBy(*_BLOCK).applyInPandas(_involved, _MEMBER), "involved")
+    whole = left.join(element_sets(left.select("id"), docs).hint("merge"), "id")
+    return materialize(whole.groupBy(*_BLOCK).applyInPandas(_confirmed, "a long, b long"), "links")
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -214,22 +301,20 @@ def group(docs: DataFrame) -> DataFrame:
     sketches = materialize(docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits binary"), "sketches")
     rep = sketches.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("alike"))
     rep = materialize(rep, "classes")
-    own = sketches.join(rep.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
+    # nothing that grows with the data is broadcast here, whatever its size
+    own = materialize(sketches.join(rep.select("set_key", F.col("rep").alias("doc_id")).hint("merge"), ["set_key", "doc_id"], "left_semi").drop("set_key"), "own")
     buckets = own.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     leaders = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("last")).filter("lead.id < last").select("key", "lead")
-    members = materialize(buckets.join(leaders, "key"), "members")
+    members = materialize(buckets.join(leaders.hint("merge"), "key"), "members")
     fits = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * PERCENT
     star = materialize(members.filter((F.col("id") != F.col("lead.id")) & fits).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
     links = verify(star, docs)
     comps = components(links)
     members, bits = members.select("key", "id", "n"), own.select(F.col("doc_id").alias("id"), "bits")
-    tested = star
-    for best_only in (True, False):
-        more = materialize(cross_pairs(members, bits, comps, best_only).join(tested, ["a", "b"], "left_anti"), "candidates")
-        if more.isEmpty():
-            continue
-        links, tested = links.unionByName(verify(more, docs)), tested.unionByName(more)
-        comps = components(links)
+    more = materialize(spanning_pairs(members, bits, comps).join(star, ["a", "b"], "left_anti"), "candidates")
+    links = links.unionByName(verify(more, docs))
+    links = links.unionByName(remaining_links(members, bits, components(links), docs))
+    comps = components(links)
     whole = rep.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     # a class of one row that is linked with nothing answers for itself
     whole = whole.filter("alike > 1 or component_id != rep").select("set_key", "component_id")
@@ -241,10 +326,12 @@ def group(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; columns unchanged.
 
-    Where several rows share the id that stays, one of them does.
+    Where several rows share the id that stays, one of them does. Rows without
+    an id can't be told apart by it and stay.
     """
     grouped = materialize(group(docs), "near_groups")
-    staying = grouped.filter("kept").select("doc_id")
+    staying = grouped.filter("kept and doc_id is not null").select("doc_id")
     kept = docs.join(staying.distinct(), "doc_id", "left_semi")
     repeated = not staying.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    kept = kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
