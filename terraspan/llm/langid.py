@@ -125,26 +125,28 @@ def fit(docs: DataFrame, *, sample_per_language: int = 1500, centroids: int = 4,
     each language, as counts of at most 8192 cells. A language's least cosine
     is ``slack`` times the lowest of its training texts of 40 cells or more.
     """
-    rows = sample_rows(docs, sample_per_language).mapInArrow(_vectors, "lang string, cells binary").collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["cells"])))
-    langs = sorted({r["lang"] for r in rows})
-    x = np.zeros((len(rows), CELLS), np.float32)
-    full = np.zeros(len(rows), bool)
-    for i, r in enumerate(rows):
-        pair = np.frombuffer(bytes(r["cells"]), np.uint16).reshape(2, -1)
-        x[i, pair[0]] = np.log1p(pair[1])
-        full[i] = pair.shape[1] >= MIN_CELLS
-    idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    name = np.array([r["lang"] for r in rows])
-    owner, out, least = [], [], []
-    for j, lang in enumerate(langs):
-        own = x[name == lang]
+    sample: dict[str, list[bytes]] = {}
+    for r in sample_rows(docs, sample_per_language).mapInArrow(_vectors, "lang string, cells binary").toLocalIterator():
+        sample.setdefault(r["lang"], []).append(bytes(r["cells"]))
+    seen, rows = np.zeros(CELLS, np.int64), 0
+    for packed in sample.values():
+        packed.sort()
+        rows += len(packed)
+        for p in packed:
+            seen[np.frombuffer(p, np.uint16).reshape(2, -1)[0]] += 1
+    idf = (np.log((1 + rows) / (1 + seen)) + 1).astype(np.float32)
+    langs, owner, out, least = sorted(sample), [], [], []
+    for j, lang in enumerate(langs):  # one language's sample unpacked at a time
+        own = np.zeros((len(sample[lang]), CELLS), np.float32)
+        full = np.zeros(len(own), bool)
+        for i, p in enumerate(sample.pop(lang)):
+            pair = np.frombuffer(p, np.uint16).reshape(2, -1)
+            own[i, pair[0]] = np.log1p(pair[1].astype(np.float32)) * idf[pair[0]]
+            full[i] = pair.shape[1] >= MIN_CELLS
+        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
         c = cluster(own, centroids)
-        long = own[full[name == lang]]
-        near = (long if len(long) else own) @ c.T
-        least.append(slack * float(near.max(axis=1).min()))
+        near = (own @ c.T).max(axis=1)
+        least.append(slack * float((near[full] if full.any() else near).min()))
         owner += [j] * len(c)
         out.append(c)
     table = np.concatenate(out) if out else np.zeros((0, CELLS), np.float32)
