@@ -79,7 +79,8 @@ def rarest(template: list[str], df: dict[str, int], n: int = RARE) -> list[tuple
 
 def template_starts(template: list[str], key: list[str], df: dict[str, int], words: Column) -> Column:
     looked = rarest(template, df)
-    postings = [F.transform(places_of(w, words), lambda i, j=j: i - F.lit(j)) for w, j in looked]
+    back = lambda j: lambda i: i - F.lit(j)  # noqa: E731  one argument: a second one would be taken for the index
+    postings = [F.transform(places_of(w, words), back(j)) for w, j in looked]
     common = reduce(F.concat, postings)
     if len(looked) > 1:  # a start needs two of the rare words in their relative places
         common = F.filter(F.array_distinct(common), lambda s: sum((F.array_contains(p, s).cast("int") for p in postings), F.lit(0)) >= 2)
