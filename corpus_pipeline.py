@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraspan import shipping
 from terraspan.llm import decontamination, langid, mixing, near_dedup, sharding
 from terraspan.llm.common import materialize
 
@@ -39,12 +40,17 @@ def deal_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def shipped(stage: Stage) -> Stage:
+    """The stage, after the package has been sent to the executors."""
+    return lambda spark, docs, sf_dir: stage(shipping.ensure(spark), docs, sf_dir)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", identify_languages),
-    ("near_dedup", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("mixing", mix_sources),
-    ("sharding", deal_into_shards),
+    ("language_id", shipped(identify_languages)),
+    ("near_dedup", shipped(drop_near_duplicates)),
+    ("decontamination", shipped(drop_contaminated)),
+    ("mixing", shipped(mix_sources)),
+    ("sharding", shipped(deal_into_shards)),
 ]
 
 #: Neither sketches nor entropy balancing can be said in SQL; tests hold the stages against brute force.
