@@ -31,7 +31,7 @@ PIECE = 1 << 20
 #: More values of ``lang`` are taken for a wrong column.
 MAX_LANGUAGES = 500
 #: Texts of fewer cells are too short to be rejected by distance.
-MIN_CELLS = 40
+MIN_CELLS = 200
 
 
 def counts(text: bytes) -> np.ndarray:
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, *, sample_per_language: int = 1500, centroids: int = 4,
 
     ``sample_per_language`` bounds what reaches the driver: so many texts of
     each language, as counts of at most 8192 cells. A language's least cosine
-    is ``slack`` times the lowest of its training texts of 40 cells or more.
+    is ``slack`` times the lowest of its training texts of 200 cells or more.
     """
     sample: dict[str, list[bytes]] = {}
     for r in sample_rows(docs, sample_per_language).mapInArrow(_vectors, "lang string, cells binary").toLocalIterator():
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     Null texts and texts without a letter are ``und`` with score 0 and
     rejected; very short ones are judged like any other, though never rejected
-    (fewer than 40 cells say too little about distance). Very long ones are
+    (fewer than 200 cells say too little about distance). Very long ones are
     counted a megabyte at a time. Rows that share a doc_id are judged one by one.
     The model, of at most languages x centroids x 8192 floats, goes along with the function.
     """
