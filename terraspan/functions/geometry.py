@@ -130,3 +130,38 @@ def metric_ring(r: Column) -> Column:
     """A lon/lat ring in the UTM zone of its own centroid."""
     c = centroid(r)
     return project_ring(r, utm_epsg(c["x"], c["y"]))
+
+
+def ellipsoid_area(outer: Column, holes: Column | None = None) -> Column:
+    """Square metres on the WGS84 ellipsoid of a lon/lat ring less its holes: the shoelace in the equal-area plane."""
+    a, flat = 6378137.0, 1 / 298.257223563
+    e = math.sqrt(flat * (2 - flat))
+
+    def plane(r: Column) -> Column:
+        def at(p: Column) -> Column:
+            s = F.sin(F.radians(p["y"]))
+            q = (1 - e * e) * (s / (1 - e * e * s * s) + F.atanh(e * s) / e)
+            return F.struct(F.radians(p["x"]).alias("x"), (a * a / 2 * q).alias("y"))
+
+        return F.transform(r, at)
+
+    total = area(plane(outer))
+    return total if holes is None else total - F.aggregate(F.transform(holes, lambda h: area(plane(h))), F.lit(0.0), lambda x, y: x + y)
+
+
+def is_simple(r: Column) -> Column:
+    """Whether no two edges that aren't neighbours meet; null rings aren't."""
+    edges = F.filter(_edges(r), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+    numbered = F.transform(edges, lambda e, i: F.struct(e["x1"].alias("x1"), e["y1"].alias("y1"), e["x2"].alias("x2"), e["y2"].alias("y2"), i.alias("i")))
+    side = lambda e, x, y: F.signum((e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]))
+
+    def meet(p: Column, q: Column) -> Column:
+        apart = (
+            (F.greatest(p["x1"], p["x2"]) < F.least(q["x1"], q["x2"])) | (F.greatest(q["x1"], q["x2"]) < F.least(p["x1"], p["x2"]))
+            | (F.greatest(p["y1"], p["y2"]) < F.least(q["y1"], q["y2"])) | (F.greatest(q["y1"], q["y2"]) < F.least(p["y1"], p["y2"]))
+        )
+        return ~apart & (side(p, q["x1"], q["y1"]) * side(p, q["x2"], q["y2"]) <= 0) & (side(q, p["x1"], p["y1"]) * side(q, p["x2"], p["y2"]) <= 0)
+
+    n = F.size(numbered)
+    crossing = F.exists(numbered, lambda p: F.exists(numbered, lambda q: (q["i"] > p["i"] + 1) & ~((p["i"] == 0) & (q["i"] == n - 1)) & meet(p, q)))
+    return F.coalesce((n >= 3) & ~crossing, F.lit(False))
