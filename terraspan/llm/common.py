@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -160,5 +162,10 @@ def ascii_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def values(column: pa.Array) -> Iterator:
+    """A column's values one at a time, so that no second copy of a batch's texts is held."""
+    return (v.as_py() for v in column)
+
+
 def blocks_for(rows: int, per_block: int) -> int:
     return max(1, math.ceil(rows / per_block))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordIds, blocks_for, mix64, shingle_hashes
+from .common import GOLDEN, WordIds, blocks_for, mix64, shingle_hashes, values
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -206,7 +206,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def look(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in index.search(t)]
+                rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True) for x in index.search(t)]
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "item_id", "first_word", "similarity"])
 
@@ -222,7 +222,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not index.search(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not index.search(t) for t in values(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

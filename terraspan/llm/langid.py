@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import crc_of_id, values
 
 #: Hashed n-gram cells.
 CELLS = 1 << 13
@@ -109,7 +109,7 @@ def sample_rows(docs: DataFrame, sample_per_language: int) -> DataFrame:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, cells = [], []
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        for lang, text in zip(batch.column(0).to_pylist(), values(batch.column(1).cast(pa.binary())), strict=True):
             raw = np.minimum(counts(text), 65535).astype(np.uint16)
             if raw.any():
                 at = np.flatnonzero(raw).astype(np.uint16)
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.judge(t) for t in batch.column(1).to_pylist()]
+            found = [model.judge(t) for t in values(batch.column(1))]
             columns = [batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "rejected"])
 
@@ -183,6 +183,6 @@ def keep_known(docs: DataFrame, **options) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not model.judge(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not model.judge(t)[2] for t in values(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema).toDF(*names)

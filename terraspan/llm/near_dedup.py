@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordIds, ascii_words, materialize, mix64, screen, shingle_hashes
+from .common import GOLDEN, WordIds, ascii_words, materialize, mix64, screen, shingle_hashes, values
 
 BANDS, ROWS = 48, 5
 COORDINATES = BANDS * ROWS
@@ -89,7 +89,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "set_key", "bands", "bits"]
     for batch in batches:
         n, keys, bands, bits = [], [], [], []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
+        for text in values(batch.column(1).cast(pa.binary())):
             elements = shingle_set(words.of(ascii_words(text or b"")))
             n.append(len(elements))
             if len(elements):
@@ -109,15 +109,15 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordIds()
     for batch in batches:
-        sets = [shingle_set(words.of(ascii_words(t or b""))).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        sets = [shingle_set(words.of(ascii_words(t or b""))).tobytes() for t in values(batch.column(1).cast(pa.binary()))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "elements"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, materialize
+from .common import crc_of_id, materialize, values
 
 FEATURES = (
     "log_words", "mean_length", "deviation_of_length", "capitals", "digits", "stops_and_commas", "signs", "line_ends", "spaces", "beyond_ascii",
@@ -64,7 +64,7 @@ def statistics(text: bytes) -> list[float]:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.float64())
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        texts = values(batch.column(1).cast(pa.binary()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t or b"") for t in texts], kind)], names=["doc_id", "stats"])
 
 
