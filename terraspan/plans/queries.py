@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraspan.functions import affine, detections as d, geometry as g, indices
-from terraspan.operators import nms, raster, sequences, spatial
+from terraspan.operators import nms, overlay, raster, sequences, spatial
 
 from .domain import view, with_views
 
@@ -354,3 +354,40 @@ def tile_to_uint8(spark, sf_dir):
     return raster.to_uint8(p, ["tile"], "red").groupBy("tile").agg(F.sum("u8").alias("total"))
 
 
+def label_shapes(spark, sf_dir):
+    corners = [(F.col("rx1"), F.col("ry1")), (F.col("rx2"), F.col("ry1")), (F.col("rx2"), F.col("ry2")), (F.col("rx1"), F.col("ry2"))]
+    return view(spark, sf_dir, "labels_boxes").select("lid", F.array(g.ring(*corners)).alias("rings"))
+
+
+def parcel_shapes(spark, sf_dir):
+    return view(spark, sf_dir, "parcels").select("name", "ord", F.array("ring").alias("rings"))
+
+
+# the part of a box below a triangle's slope is a sum of four corner triangles
+@query("""WITH c AS (SELECT name, lid, tri, greatest(rx1 - x0, 0) AS a, greatest(ry1 - y0, 0) AS b, least(rx2 - x0, 150) AS c, least(ry2 - y0, 150) AS d FROM parcels JOIN labels_boxes
+      ON rx1 < x0 + 150 AND x0 < rx2 AND ry1 < y0 + 150 AND y0 < ry2),
+    s AS (SELECT name, lid, CASE WHEN tri THEN (power(greatest(0, 150 - a - b), 2) - power(greatest(0, 150 - c - b), 2) - power(greatest(0, 150 - a - d), 2) + power(greatest(0, 150 - c - d), 2)) / 2 ELSE (c - a) * (d - b) END AS area FROM c)
+    SELECT name, lid, round(area, 4) AS area FROM s WHERE area > 0""")
+def polygon_overlay_intersection(spark, sf_dir):
+    found = overlay.intersections(parcel_shapes(spark, sf_dir), label_shapes(spark, sf_dir), CELL)
+    return found.select("name", "lid", r9(F.col("area"), 4).alias("area"))
+
+
+@query("""WITH u AS (SELECT DISTINCT lid % 4 AS grp, unnest(range(CAST(rx1 AS BIGINT), CAST(rx2 AS BIGINT))) AS x, ry1, ry2 FROM labels_boxes),
+    c AS (SELECT DISTINCT grp, x, unnest(range(CAST(ry1 AS BIGINT), CAST(ry2 AS BIGINT))) AS y FROM u) SELECT grp, CAST(count(*) AS DOUBLE) AS area FROM c GROUP BY grp""")
+def union_area_by_group(spark, sf_dir):
+    pieces = overlay.dissolved(label_shapes(spark, sf_dir).withColumn("grp", F.col("lid") % 4), ["grp"], 40.0)
+    return pieces.groupBy("grp").agg(r9(F.sum("area"), 4).alias("area"))
+
+
+@query("""SELECT name, round(CASE WHEN tri THEN 11250 + (300 + 150 * sqrt(2)) * 10 ELSE 22500 + 6000 END + 32 * sin(pi() / 32) * 100, 6) AS area FROM parcels""")
+def buffer_area(spark, sf_dir):
+    return overlay.buffered(parcel_shapes(spark, sf_dir), 10.0).select("name", r9(F.col("area"), 6).alias("area"))
+
+
+@query("SELECT name, round(CASE WHEN tri THEN 11250 ELSE 22500 END - 2500.0, 6) AS area FROM parcels")
+def parcel_minus_core(spark, sf_dir):
+    x, y = F.col("x0") + 20, F.col("y0") + 20
+    cores = view(spark, sf_dir, "parcels").select(F.array(g.ring((x, y), (x + 50, y), (x + 50, y + 50), (x, y + 50))).alias("rings"))
+    pieces = overlay.differences(parcel_shapes(spark, sf_dir), cores, CELL)
+    return pieces.groupBy("name").agg(r9(F.sum("area"), 6).alias("area"))
