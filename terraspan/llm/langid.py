@@ -3,8 +3,9 @@
 A text becomes a vector of hashed byte trigrams and quadgrams of its letters, weighted
 by ln(1 + tf) x idf and scaled to length 1. Each language gets several
 centroids by spherical k-means over its training texts, and a text goes to the
-language of the centroid with the highest cosine. A text further from its
-centroid than the language's own training texts ever are is rejected.
+language of the centroid with the highest cosine. Cosines grow with the number
+of cells, so a text is rejected if its cosine is below ``slack`` times a low
+quantile of those of the language's training texts of about as many cells.
 
 The model is fitted on a bounded sample, ``sample_per_language`` texts of each
 language chosen by a hash of text; everything else covers every row.
@@ -32,6 +33,10 @@ PIECE = 1 << 20
 MAX_LANGUAGES = 500
 #: Texts of fewer cells are too short to be rejected by distance.
 MIN_CELLS = 200
+#: Bands of cell counts for the least cosines: MIN_CELLS to twice as many, and so on; the last is open.
+LENGTHS = 5
+#: The quantile of a band's training cosines, and the texts that a band needs for it: one odd text doesn't set it.
+LOW, BAND_TEXTS = 0.05, 20
 
 
 def counts(text: bytes) -> np.ndarray:
@@ -58,9 +63,33 @@ def vector(text: bytes, idf: np.ndarray | None = None) -> np.ndarray:
     return (v / norm if norm else v).astype(np.float32)
 
 
+def length_band(cells):
+    return np.clip(np.log2(np.maximum(cells, 1) / MIN_CELLS).astype(np.int64), 0, LENGTHS - 1)
+
+
+def least_cosines(near: np.ndarray, cells: np.ndarray, slack: float) -> np.ndarray:
+    """``slack`` times the low quantile of the cosines ``near`` in each band of ``cells``.
+
+    A band of few texts takes the bound of the next shorter one, which is lower;
+    the shortest ones take half the bound of the next longer one, a band down.
+    Where every band has few texts, all texts give one bound.
+    """
+    band = np.where(cells >= MIN_CELLS, length_band(cells), -1)
+    out = np.array([slack * np.quantile(own, LOW) if len(own := near[band == b]) >= BAND_TEXTS else np.nan for b in range(LENGTHS)])
+    known = np.flatnonzero(~np.isnan(out))
+    if not len(known):
+        full = near[band >= 0]
+        return np.full(LENGTHS, slack * np.quantile(full if len(full) else near, LOW))
+    for b in range(known[0] - 1, -1, -1):
+        out[b] = out[b + 1] / 2
+    for b in range(known[0] + 1, LENGTHS):
+        out[b] = out[b - 1] if np.isnan(out[b]) else out[b]
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
-    """Centroids (rows of length 1), the language of each, the least cosine a text of that language may have, and the idf."""
+    """Centroids (rows of length 1), the language of each, the least cosine a text of that language may have (one, or one a band of lengths), and the idf."""
 
     langs: list[str]
     owner: np.ndarray
@@ -79,7 +108,7 @@ class Model:
         best = int(np.argmax(cos))
         lang = int(self.owner[best])
         top = float(cos[best])
-        return self.langs[lang], min(1.0, max(0.0, top)), bool(top < self.least[lang] and np.count_nonzero(v) >= MIN_CELLS)
+        return self.langs[lang], min(1.0, max(0.0, top)), bool((cells := np.count_nonzero(v)) >= MIN_CELLS and top < np.broadcast_to(self.least[lang], LENGTHS)[length_band(cells)])
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -122,8 +151,8 @@ def fit(docs: DataFrame, *, sample_per_language: int = 1500, centroids: int = 4,
     """Fit on the training rows of ``docs`` (text, lang, doc_id).
 
     ``sample_per_language`` bounds what reaches the driver: so many texts of
-    each language, as counts of at most 8192 cells. A language's least cosine
-    is ``slack`` times the lowest of its training texts of 200 cells or more.
+    each language, as counts of at most 8192 cells. A language's least cosines
+    are ``slack`` times the low quantiles of its training texts, by bands of cell counts.
     """
     sample: dict[str, list[bytes]] = {}
     for r in sample_rows(docs, sample_per_language).mapInArrow(_vectors, "lang string, cells binary").toLocalIterator():
@@ -138,15 +167,15 @@ def fit(docs: DataFrame, *, sample_per_language: int = 1500, centroids: int = 4,
     langs, owner, out, least = sorted(sample), [], [], []
     for j, lang in enumerate(langs):  # one language's sample unpacked at a time
         own = np.zeros((len(sample[lang]), CELLS), np.float32)
-        full = np.zeros(len(own), bool)
+        cells = np.zeros(len(own), np.int64)
         for i, p in enumerate(sample.pop(lang)):
             pair = np.frombuffer(p, np.uint16).reshape(2, -1)
             own[i, pair[0]] = np.log1p(pair[1].astype(np.float32)) * idf[pair[0]]
-            full[i] = pair.shape[1] >= MIN_CELLS
+            cells[i] = pair.shape[1]
         own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
         c = cluster(own, centroids)
         near = (own @ c.T).max(axis=1)
-        least.append(slack * float((near[full] if full.any() else near).min()))
+        least.append(least_cosines(near, cells, slack))
         owner += [j] * len(c)
         out.append(c)
     table = np.concatenate(out) if out else np.zeros((0, CELLS), np.float32)

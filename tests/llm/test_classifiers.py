@@ -79,3 +79,25 @@ def test_long_texts_are_counted_whole():
     finally:
         langid.PIECE = small
     assert np.array_equal(pieces, langid.counts(text)) and langid.counts(text).sum() == 2 * (len(text) + 2) - 5
+
+
+def test_long_gibberish_and_an_unlearned_language_are_rejected(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    train = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(train)
+    clean = [r["text"] for r in train.collect() if r["text"] and any(c.isalpha() for c in r["text"])]
+    assert sum(model.judge(t)[2] for t in clean) <= 0.001 * len(clean)
+    for n in (60, 200, 600, 2000, 8000):
+        assert model.judge(" ".join(word() for _ in range(n)))[2]
+    for n in (1000, 4000, 20_000):
+        assert model.judge("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)))[2]
+    turned = str.maketrans("abcdefghijklmnopqrstuvwxyz", "nopqrstuvwxyzabcdefghijklm")
+    foreign = [t.lower().translate(turned) for t in clean if np.count_nonzero(langid.counts(t.encode())) >= 2 * langid.MIN_CELLS]
+    assert len(foreign) > 300 and np.mean([model.judge(t)[2] for t in foreign]) > 0.99
+
+
+def test_one_odd_training_text_does_not_set_the_bound():
+    near, cells = np.linspace(0.7, 0.9, 100), np.full(100, 1000)
+    odd = langid.least_cosines(np.append(near, 0.05), np.append(cells, 1000), 0.5)
+    assert np.allclose(odd, langid.least_cosines(near, cells, 0.5), atol=0.01) and (np.diff(odd) >= 0).all() and odd[2] > 0.34
