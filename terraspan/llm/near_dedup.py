@@ -17,7 +17,7 @@ confirmed on full sets:
 2. in buckets whose members are not connected by then, a spanning forest of the
    most alike pairs between components, linear in the bucket again;
 3. in buckets still not connected, every remaining pair between components,
-   each in the first band that holds it.
+   each in the first band whose bucket holds it.
 
 Steps 2 and 3 skip pairs whose sizes or sketches exclude the similarity (sketches
 by five standard deviations). Components are found on the cluster, by
@@ -203,6 +203,7 @@ class _Block:
         n, half = group["n"].to_numpy(), group["chunk"].to_numpy()
         bits = np.frombuffer(b"".join(group["bits"]), np.uint8).reshape(len(group), COORDINATES)
         band = int(group["key"].iloc[0]) & BAND_MASK
+        keys = np.stack(group["bands"].to_list()) if first_band_only and band else None
         values, sizes = np.unique(self.comp, return_counts=True)
         largest = values[np.argmax(sizes)]
         apart = group["low"].iloc[0] != group["high"].iloc[0]
@@ -218,8 +219,8 @@ class _Block:
             equal = bits[at] == bits[i]
             same = equal.sum(axis=1)
             good = same >= AGREE
-            if first_band_only and band:
-                good &= ~equal[:, : band * ROWS].reshape(len(at), band, ROWS).all(axis=2).any(axis=1)
+            if keys is not None:
+                good[good] = ~(keys[at[good], :band] == keys[i, :band]).any(axis=1)
             a.append(np.full(good.sum(), i))
             b.append(at[good])
             alike.append(same[good])
@@ -257,11 +258,11 @@ def _confirmed(group: pd.DataFrame) -> pd.DataFrame:
 
 
 _BLOCK = ["key", "low", "high"]
-_MEMBER = "key long, low int, high int, id long, component long, n long, chunk int, bits binary"
+_MEMBER = "key long, low int, high int, id long, component long, n long, chunk int, bits binary, bands array<long>"
 
 
 def mixed_blocks(members: DataFrame, bits: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, cut into blocks; ``members``: key, id, n. Every pair of a bucket shares a block."""
+    """Members of the buckets that hold several components, cut into blocks, with the columns of ``bits``; ``members``: key, id, n. Every pair of a bucket shares a block."""
     labelled = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(
         F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"),
@@ -274,7 +275,7 @@ def mixed_blocks(members: DataFrame, bits: DataFrame, comps: DataFrame) -> DataF
     rows = labelled.join(mixed.select(F.col("first.key").alias("key"), chunks.alias("chunks")).hint("merge"), "key")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).join(bits.hint("merge"), "id")
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return rows.select("key", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "id", "component", "n", "chunk", "bits")
+    return rows.select("key", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "id", "component", "n", "chunk", *[c for c in bits.columns if c != "id"])
 
 
 def spanning_pairs(members: DataFrame, bits: DataFrame, comps: DataFrame) -> DataFrame:
@@ -283,7 +284,7 @@ def spanning_pairs(members: DataFrame, bits: DataFrame, comps: DataFrame) -> Dat
 
 
 def remaining_links(members: DataFrame, bits: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Step 3: links between components. Blocks are met by the full sets of just those members that have a pair left."""
+    """Step 3: links between components; ``bits`` has the keys of all bands too. Blocks are met by the full sets of just those members that have a pair left."""
     left = materialize(mixed_blocks(members, bits, comps).groupBy(*_BLOCK).applyInPandas(_involved, _MEMBER), "involved")
     whole = left.join(element_sets(left.select("id"), docs).hint("merge"), "id")
     return materialize(whole.groupBy(*_BLOCK).applyInPandas(_confirmed, "a long, b long"), "links")
@@ -310,8 +311,8 @@ def group(docs: DataFrame) -> DataFrame:
     star = materialize(members.filter((F.col("id") != F.col("lead.id")) & fits).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
     links = verify(star, docs)
     comps = components(links)
-    members, bits = members.select("key", "id", "n"), own.select(F.col("doc_id").alias("id"), "bits")
-    more = materialize(spanning_pairs(members, bits, comps).join(star, ["a", "b"], "left_anti"), "candidates")
+    members, bits = members.select("key", "id", "n"), own.select(F.col("doc_id").alias("id"), "bits", "bands")
+    more = materialize(spanning_pairs(members, bits.drop("bands"), comps).join(star, ["a", "b"], "left_anti"), "candidates")
     links = links.unionByName(verify(more, docs))
     links = links.unionByName(remaining_links(members, bits, components(links), docs))
     comps = components(links)

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from terraspan.llm import exact_dedup, line_dedup, near_dedup
@@ -146,3 +147,14 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     got = dict(map(tuple, near_dedup.components(spark.createDataFrame(path + star + ring, "a long, b long")).collect()))
     assert {v for k, v in got.items() if k <= 40} == {0} and {v for k, v in got.items() if 100 <= k < 130} == {100}
     assert got[200] == 200 and got[207] == 200
+
+
+def test_equal_fragments_are_no_shared_bucket():
+    # one component each, every 8-bit fragment equal, but only the bucket of band 3 in common (and band 2 for the last two)
+    bands = np.arange(3 * near_dedup.BANDS, dtype=np.int64).reshape(3, -1) * 64 + np.arange(near_dedup.BANDS)
+    bands[:, 3] = bands[0, 3]
+    bands[2, 2] = bands[1, 2]
+    rows = [(int(bands[0, 3]), 0, 0, i, i, 50, 0, bytes(near_dedup.COORDINATES), bands[i]) for i in range(3)]
+    group = pd.DataFrame(rows, columns=["key", "low", "high", "id", "component", "n", "chunk", "bits", "bands"])
+    block = near_dedup._Block(group, first_band_only=True)
+    assert sorted(map(tuple, block.edges(np.arange(len(block.a))).to_numpy().tolist())) == [(0, 1), (0, 2)]
