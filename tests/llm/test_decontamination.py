@@ -100,3 +100,26 @@ def test_blocks_find_all_within_the_radius():
             for bit in rng.sample(range(dc.BITS), apart):
                 p[bit // 16] ^= np.uint16(1 << (bit % 16))
             assert (0, k) in index.near(p[None, :], 20)
+
+
+def test_fingerprints_of_templated_items_are_near():
+    rng = random.Random(6)
+    frames = [sentence(rng, 30), sentence(rng, 30)]
+    own = [sentence(rng, 60) for _ in range(400)]
+    index = dc.Index([(i, f"{frames[i % 2]} {t}") for i, t in enumerate(own)])
+    index.build()
+    found = [index.search(f"{frames[1 - i % 2]} {t}") for i, t in enumerate(own)]
+    assert sum(i in [x[0] for x in f] for i, f in enumerate(found)) == 400
+    assert all(0.75 <= s < 0.8 for f in found for _, _, s in f)
+
+
+def test_windows_with_repeated_shingles():
+    # one item goes round in ten words; a window with a seventh more of the rounds and less of the rest
+    rng = random.Random(7)
+    items = [" ".join(sentence(rng, 10).split() * 3) + " " + sentence(rng, 60) for _ in range(150)]
+    index = dc.Index(list(enumerate(items)))
+    index.build()
+    texts = [" ".join(t.split()[:10] + t.split()[:-10]) for t in items]
+    want = brute(list(enumerate(texts)), list(enumerate(items)))
+    got = {(i, k, start, round(s, 9)) for i, t in enumerate(texts) for k, start, s in index.search(t)}
+    assert len(want) == 150 and len(got & want) >= 149 and got <= want
