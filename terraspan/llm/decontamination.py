@@ -102,13 +102,21 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray, weight) -> float:
 
 @dataclass
 class Index:
-    """The items of one pass. Rebuilt by each Python worker from (item_id, text) rows."""
+    """The items of one pass. Rebuilt by each Python worker from (item_id, text) rows.
+
+    ``total`` is the number of items of the whole benchmark, ``many`` and
+    ``times`` the shingles (ascending) that several of those hold and in how many;
+    without them the items are the whole benchmark.
+    """
 
     items: list[tuple[int, str]]
+    total: int | None = None
+    many: np.ndarray | None = field(default=None, compare=False)
+    times: np.ndarray | None = field(default=None, compare=False)
     ready: bool = field(default=False, compare=False)
 
     def __reduce__(self):
-        return Index, (self.items,)
+        return Index, (self.items, self.total, self.many, self.times)
 
     def build(self) -> None:
         self.words = WordIds()
@@ -122,11 +130,13 @@ class Index:
                 self.by_length[len(ids)].append(k)
         per_item = [np.unique(s) for s in self.shingles]
         flat = np.concatenate(per_item) if per_item else np.zeros(0, np.uint64)
-        self.known, self.df = np.unique(flat, return_counts=True)
+        self.known, df = np.unique(flat, return_counts=True)
+        if self.total is None:
+            self.total, self.many, self.times = len(self.items), self.known[df > 1], df[df > 1]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.known >> np.uint64(42)] = True
-        self.total = [float(self.weight(s).sum()) for s in self.shingles]
-        self.least = {n: min(self.total[k] for k in own) for n, own in self.by_length.items()}
+        heavy = [float(self.weight(s).sum()) for s in self.shingles]
+        self.least = {n: min(heavy[k] for k in own) for n, own in self.by_length.items()}
         # known shingle -> lengths of the items that hold it
         pairs = np.unique(np.array([(at, len(self.ids[k])) for k, u in enumerate(per_item) for at in np.searchsorted(self.known, u)], np.int64).reshape(-1, 2), axis=0)
         self.lengths = pairs[:, 1]
@@ -146,9 +156,9 @@ class Index:
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
         """ln(1 + items / items with the shingle); one that no item has weighs as one that a single item has."""
-        at = np.minimum(np.searchsorted(self.known, shingles), max(0, len(self.known) - 1))
-        df = np.where(self.known[at] == shingles, self.df[at], 1) if len(self.known) else np.ones(len(shingles))
-        return np.log1p(len(self.items) / df)
+        at = np.minimum(np.searchsorted(self.many, shingles), max(0, len(self.many) - 1))
+        df = np.where(self.many[at] == shingles, self.times[at], 1) if len(self.many) else np.ones(len(shingles))
+        return np.log1p(self.total / df)
 
     def near(self, prints: np.ndarray, n: int) -> list[tuple[int, int]]:
         """(window, item) of all items of ``n`` words within the radius, by the block tables."""
@@ -212,13 +222,30 @@ class Index:
         return sorted((self.items[i][0], start, s) for i, (s, start) in best.items())
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = WordIds()
+    for batch in batches:
+        own = [np.unique(shingle_hashes(words.of(words_of(t)), SHINGLE)) for t in values(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], names=["shingle"])
+
+
+def repeated_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (ascending) that several of the items hold, and in how many. What one item holds weighs as what none does, so it isn't kept."""
+    counted = rows.select("text").mapInArrow(_shingles, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").toArrow()
+    many, times = counted.column("shingle").to_numpy().view(np.uint64), counted.column("n").to_numpy()
+    order = np.argsort(many)
+    return many[order], times[order].astype(np.uint32)
+
+
 def passes(benchmark: DataFrame, per_pass: int = PASS_ITEMS) -> Iterator[Index]:
-    """The benchmark in blocks of about ``per_pass`` items, one block in the driver at a time."""
+    """The benchmark in blocks of about ``per_pass`` items, one block in the driver at a time; weights are those of the whole benchmark."""
     rows = benchmark.select("item_id", "text").filter("text is not null").distinct()
-    cut = blocks_for(rows.count(), per_pass)
+    n = rows.count()
+    cut = blocks_for(n, per_pass)
+    weights = (n, *repeated_shingles(rows)) if cut > 1 else ()
     for p in range(cut):
         own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(cut)) == p).orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], r["text"]) for r in own])
+        yield Index([(r["item_id"], r["text"]) for r in own], *weights)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -123,3 +123,19 @@ def test_windows_with_repeated_shingles():
     want = brute(list(enumerate(texts)), list(enumerate(items)))
     got = {(i, k, start, round(s, 9)) for i, t in enumerate(texts) for k, start, s in index.search(t)}
     assert len(want) == 150 and len(got & want) >= 149 and got <= want
+
+
+def test_results_do_not_depend_on_passes(spark, monkeypatch):
+    rng = random.Random(8)
+    frames = [sentence(rng, 30), sentence(rng, 30)]
+    own = [sentence(rng, 30) for _ in range(60)]
+    items = [(i, f"{frames[i % 2]} {t}") for i, t in enumerate(own)]
+    # a few own words changed, or under the other template: similarities on both sides of 0.75
+    docs = [(i, f"{frames[(i + i // 30) % 2]} {' '.join(w if j >= i % 4 else 'changed' for j, w in enumerate(t.split()))}") for i, t in enumerate(own)]
+    bench, read = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    one = sorted(map(tuple, dc.contaminated(read, bench).collect()))
+    left = sorted(r["doc_id"] for r in dc.remove_contaminated(read, bench).collect())
+    assert {(d, i, at, round(s, 9)) for d, i, at, s in one} == brute(docs, items) and 0 < len(one) < 60
+    monkeypatch.setattr(dc, "passes", lambda b, f=dc.passes: f(b, 8))
+    assert sorted(map(tuple, dc.contaminated(read, bench).collect())) == one
+    assert sorted(r["doc_id"] for r in dc.remove_contaminated(read, bench).collect()) == left
