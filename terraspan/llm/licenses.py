@@ -2,9 +2,9 @@
 
 Templates are short licence notices as word sequences. The inverse document
 frequency of every template word is counted over all documents. Each template
-is looked up by its rarest words: a document's places of those words are
-shifted by their offset in the template, and starts on which at least two
-of them agree are candidate places. A candidate counts where the
+is looked up by the rarest words of its mandatory key phrase, which no place
+may lack: a document's places of those words are shifted by their offset in the
+template, and starts on which at least two of them agree are candidate places. A candidate counts where the
 template's mandatory key phrase stands at its offset and enough of the other
 words do. Everything runs on DataFrame expressions, without a shuffle of text.
 """
@@ -39,7 +39,7 @@ TEMPLATES = {
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A template's lookup words: its rarest ones, so many.
+#: A template's lookup words: the rarest ones of its key phrase, so many.
 RARE = 3
 #: Part of a template's words that must stand in their places.
 COVER = 0.8
@@ -78,7 +78,8 @@ def rarest(template: list[str], df: dict[str, int], n: int = RARE) -> list[tuple
 
 
 def template_starts(template: list[str], key: list[str], df: dict[str, int], words: Column) -> Column:
-    looked = rarest(template, df)
+    at = next(j for j in range(len(template)) if template[j : j + len(key)] == key)
+    looked = [(w, at + j) for w, j in rarest(key, df)]
     back = lambda j: lambda i: i - F.lit(j)  # noqa: E731  one argument: a second one would be taken for the index
     postings = [F.transform(places_of(w, words), back(j)) for w, j in looked]
     common = reduce(F.concat, postings)
@@ -86,7 +87,6 @@ def template_starts(template: list[str], key: list[str], df: dict[str, int], wor
         common = F.filter(F.array_distinct(common), lambda s: sum((F.array_contains(p, s).cast("int") for p in postings), F.lit(0)) >= 2)
     else:
         common = F.array_distinct(common)
-    at = next(j for j in range(len(template)) if template[j : j + len(key)] == key)
     there = lambda s, j, w: F.when((s + F.lit(j) >= 0) & F.coalesce(F.get(words, F.greatest(s + F.lit(j), F.lit(0))) == w, F.lit(False)), 1).otherwise(0)
     mandatory = lambda s: sum((there(s, at + j, w) for j, w in enumerate(key)), F.lit(0)) == len(key)
     cover = lambda s: sum((there(s, j, w) for j, w in enumerate(template)), F.lit(0)) >= COVER * len(template)

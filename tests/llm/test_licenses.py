@@ -45,3 +45,11 @@ def test_equals_brute_force(spark):
 def test_whole_small_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     check(spark, [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], docs)
+
+
+def test_words_that_no_document_holds_hide_no_place(spark):
+    notice, _ = licenses.TEMPLATES["gpl-terms"]
+    data = [(0, notice.replace("you can", "anyone may")), (1, notice.replace("you can redistribute", "anyone may not redistribute")), (2, "nothing to see")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    check(spark, data, df)
+    assert {r["doc_id"]: "gpl-terms" in r["labels"].split(",") for r in licenses.scan(df).collect()}[0]
