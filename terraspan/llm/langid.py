@@ -3,12 +3,15 @@
 A text becomes a vector of hashed byte trigrams and quadgrams of its letters, weighted
 by ln(1 + tf) x idf and scaled to length 1. Each language gets several
 centroids by spherical k-means over its training texts, and a text goes to the
-language of the centroid with the highest cosine. Cosines grow with the number
-of cells, so a text is rejected if its cosine is below ``slack`` times a low
-quantile of those of the language's training texts of about as many cells.
-
-The model is fitted on a bounded sample, ``sample_per_language`` texts of each
-language chosen by a hash of text; everything else covers every row.
+language of the centroid with the highest cosine. A text is rejected if it lies
+further from that centroid than the language's own training texts do. Cosines
+grow with the number of different cells, so the bound is a curve over that
+number: ``slack`` times a low quantile of the training cosines in each
+half-octave of cell counts, with straight lines in between.
+
+The model is fitted on a bounded sample, at most ``sample_per_language`` texts of
+each language and ``sample_texts`` in all, chosen by a hash; everything else
+covers every row.
 """
 
 from __future__ import annotations
@@ -29,12 +32,8 @@ CELLS = 1 << 13
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bytes of a text that are turned into cells at a time.
 PIECE = 1 << 20
-#: More values of ``lang`` are taken for a wrong column.
-MAX_LANGUAGES = 500
-#: Texts of fewer cells are too short to be rejected by distance.
-MIN_CELLS = 200
-#: Bands of cell counts for the least cosines: MIN_CELLS to twice as many, and so on; the last is open.
-LENGTHS = 5
+#: Half-octaves of cell counts, up to all cells.
+BANDS = 2 * 13 + 1
 #: The quantile of a band's training cosines, and the texts that a band needs for it: one odd text doesn't set it.
 LOW, BAND_TEXTS = 0.05, 20
 
@@ -63,33 +62,34 @@ def vector(text: bytes, idf: np.ndarray | None = None) -> np.ndarray:
     return (v / norm if norm else v).astype(np.float32)
 
 
-def length_band(cells):
-    return np.clip(np.log2(np.maximum(cells, 1) / MIN_CELLS).astype(np.int64), 0, LENGTHS - 1)
+def band_of(cells: np.ndarray) -> np.ndarray:
+    """Half-octave of each cell count."""
+    return np.minimum((2 * np.log2(np.maximum(cells, 1))).astype(np.int64), BANDS - 1)
+
 
+def low_quantiles(near: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The low quantile of the cosines ``near`` in each half-octave of ``cells``; NaN where there are too few texts."""
+    band = band_of(cells)
+    return np.array([np.quantile(own, LOW) if len(own := near[band == b]) >= BAND_TEXTS else np.nan for b in range(BANDS)])
 
-def least_cosines(near: np.ndarray, cells: np.ndarray, slack: float) -> np.ndarray:
-    """``slack`` times the low quantile of the cosines ``near`` in each band of ``cells``.
 
-    A band of few texts takes the bound of the next shorter one, which is lower;
-    the shortest ones take half the bound of the next longer one, a band down.
-    Where every band has few texts, all texts give one bound.
+def bound_curve(own: np.ndarray, pooled: np.ndarray, fallback: float, slack: float) -> np.ndarray:
+    """The least cosine at the middle of each half-octave: of the language's own texts, else of all languages'.
+
+    Between known bands it follows straight lines; below the first one it falls
+    in proportion to the logarithm of the cells, above the last it stays. With no
+    band known, ``fallback`` stands for the last.
     """
-    band = np.where(cells >= MIN_CELLS, length_band(cells), -1)
-    out = np.array([slack * np.quantile(own, LOW) if len(own := near[band == b]) >= BAND_TEXTS else np.nan for b in range(LENGTHS)])
-    known = np.flatnonzero(~np.isnan(out))
+    low = np.where(np.isnan(own), pooled, own)
+    known = np.flatnonzero(~np.isnan(low))
     if not len(known):
-        full = near[band >= 0]
-        return np.full(LENGTHS, slack * np.quantile(full if len(full) else near, LOW))
-    for b in range(known[0] - 1, -1, -1):
-        out[b] = out[b + 1] / 2
-    for b in range(known[0] + 1, LENGTHS):
-        out[b] = out[b - 1] if np.isnan(out[b]) else out[b]
-    return out
+        known, low = np.array([BANDS - 1]), np.full(BANDS, fallback)
+    return slack * np.interp(np.arange(BANDS) + 0.5, np.concatenate([[0.0], known + 0.5]), np.concatenate([[0.0], low[known]]))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Centroids (rows of length 1), the language of each, the least cosine a text of that language may have (one, or one a band of lengths), and the idf."""
+    """Centroids (rows of length 1), the language of each, the idf, and for each language the least cosines of its texts at the middles of the half-octaves of cells."""
 
     langs: list[str]
     owner: np.ndarray
@@ -97,8 +97,12 @@ class Model:
     least: np.ndarray
     idf: np.ndarray
 
+    def bound(self, lang: int, cells: int) -> float:
+        """The least cosine with which a text of that many different cells is taken for that language."""
+        return float(np.interp(2 * np.log2(max(cells, 1)), np.arange(BANDS) + 0.5, self.least[lang], left=0.0)) if cells > 1 else 0.0
+
     def judge(self, text: str | None) -> tuple[str, float, bool]:
-        """(language or und, score from 0 to 1, rejected)."""
+        """(language or und, score from 0 to 1, rejected); among equal cosines the first centroid counts."""
         if not text or not any(c.isalpha() for c in text):
             return "und", 0.0, True
         if not self.langs:
@@ -108,7 +112,7 @@ class Model:
         best = int(np.argmax(cos))
         lang = int(self.owner[best])
         top = float(cos[best])
-        return self.langs[lang], min(1.0, max(0.0, top)), bool((cells := np.count_nonzero(v)) >= MIN_CELLS and top < np.broadcast_to(self.least[lang], LENGTHS)[length_band(cells)])
+        return self.langs[lang], min(1.0, max(0.0, top)), top < self.bound(lang, int(np.count_nonzero(v)))
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -124,15 +128,15 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def sample_rows(docs: DataFrame, sample_per_language: int) -> DataFrame:
-    """(lang, cells): raw n-gram counts of about that many training texts of each language, chosen by a hash of text."""
+def sample_rows(docs: DataFrame, sample_per_language: int, sample_texts: int, max_languages: int) -> DataFrame:
+    """(lang, text): about ``sample_per_language`` training texts of each of the commonest languages, ``sample_texts`` in all, chosen by a hash."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ((crc_of_id(F.col("doc_id")) % 4 != 2) | F.col("doc_id").isNull()))
-    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    if (n := per.count()) > MAX_LANGUAGES:
-        raise ValueError(f"{n} languages to learn; the model holds up to {MAX_LANGUAGES}")
-    rows = rows.select("doc_id", "lang", "text").join(F.broadcast(per), "lang")
+    commonest = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages).collect()
+    each = min(sample_per_language, sample_texts // max(1, len(commonest)))
+    per = docs.sparkSession.createDataFrame([(r["lang"], each / r["n"]) for r in commonest], "lang string, _share double")
+    rows = rows.select("doc_id", "lang", "text").join(F.broadcast(per), "lang")  # max_languages rows at most
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000.0
-    return rows.filter(chance < F.lit(float(sample_per_language)) / F.col("_n")).select("lang", "text")
+    return rows.filter(chance < F.col("_share")).select("lang", "text")
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,15 +151,18 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(cells, pa.binary())], names=["lang", "cells"])
 
 
-def fit(docs: DataFrame, *, sample_per_language: int = 1500, centroids: int = 4, slack: float = 0.5) -> Model:
-    """Fit on the training rows of ``docs`` (text, lang, doc_id).
+def fit(docs: DataFrame, *, sample_per_language: int = 1500, sample_texts: int = 8192, max_languages: int = 500, centroids: int = 4, slack: float = 0.6) -> Model:
+    """Fit on the training rows of ``docs`` (text, lang, doc_id): those with a text and a lang that aren't held out.
 
-    ``sample_per_language`` bounds what reaches the driver: so many texts of
-    each language, as counts of at most 8192 cells. A language's least cosines
-    are ``slack`` times the low quantiles of its training texts, by bands of cell counts.
+    What reaches the driver is bounded by ``sample_texts`` (about, as rows are
+    chosen by a hash), each of at most 8192 cells in 32 KB: 256 MB. They are
+    shared among the ``max_languages`` commonest values of ``lang``, at most
+    ``sample_per_language`` for each; rarer ones aren't learned. The same rows
+    give the same model, however they are partitioned. An empty table gives a
+    model without languages, for which every text is ``und`` and rejected.
     """
     sample: dict[str, list[bytes]] = {}
-    for r in sample_rows(docs, sample_per_language).mapInArrow(_vectors, "lang string, cells binary").toLocalIterator():
+    for r in sample_rows(docs, sample_per_language, sample_texts, max_languages).mapInArrow(_vectors, "lang string, cells binary").toLocalIterator():
         sample.setdefault(r["lang"], []).append(bytes(r["cells"]))
     seen, rows = np.zeros(CELLS, np.int64), 0
     for packed in sample.values():
@@ -164,31 +171,36 @@ def fit(docs: DataFrame, *, sample_per_language: int = 1500, centroids: int = 4,
         for p in packed:
             seen[np.frombuffer(p, np.uint16).reshape(2, -1)[0]] += 1
     idf = (np.log((1 + rows) / (1 + seen)) + 1).astype(np.float32)
-    langs, owner, out, least = sorted(sample), [], [], []
+    langs, owner, out, near, cells = sorted(sample), [], [], [], []
     for j, lang in enumerate(langs):  # one language's sample unpacked at a time
         own = np.zeros((len(sample[lang]), CELLS), np.float32)
-        cells = np.zeros(len(own), np.int64)
+        cells.append(np.zeros(len(own), np.int64))
         for i, p in enumerate(sample.pop(lang)):
             pair = np.frombuffer(p, np.uint16).reshape(2, -1)
             own[i, pair[0]] = np.log1p(pair[1].astype(np.float32)) * idf[pair[0]]
-            cells[i] = pair.shape[1]
+            cells[j][i] = pair.shape[1]
         own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
         c = cluster(own, centroids)
-        near = (own @ c.T).max(axis=1)
-        least.append(least_cosines(near, cells, slack))
+        near.append((own @ c.T).max(axis=1))
         owner += [j] * len(c)
         out.append(c)
-    table = np.concatenate(out) if out else np.zeros((0, CELLS), np.float32)
-    return Model(langs, np.array(owner, np.int64), table, np.array(least), idf)
+    if not langs:
+        return Model([], np.zeros(0, np.int64), np.zeros((0, CELLS), np.float32), np.zeros((0, BANDS)), idf)
+    every = np.concatenate(near)
+    pooled, fallback = low_quantiles(every, np.concatenate(cells)), float(np.quantile(every, LOW))
+    least = np.array([bound_curve(low_quantiles(n, c), pooled, fallback, slack) for n, c in zip(near, cells, strict=True)])
+    return Model(langs, np.array(owner, np.int64), np.concatenate(out), least, idf)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for every whole text.
 
-    Null texts and texts without a letter are ``und`` with score 0 and
-    rejected; very short ones are judged like any other, though never rejected
-    (fewer than 200 cells say too little about distance). Very long ones are
-    counted a megabyte at a time. Rows that share a doc_id are judged one by one.
+    ``lang_pred`` is always the nearest language, ``rejected`` tells that even
+    that one is too far. Null texts, empty ones and those without a letter are
+    ``und`` with score 0 and rejected. Short texts are judged like any other, by
+    the bound for their number of cells. Very long ones are counted a megabyte
+    at a time. Rows that share a doc_id are judged one by one; other columns
+    are ignored, whatever their names; an empty table gives an empty one.
     The model, of at most languages x centroids x 8192 floats, goes along with the function.
     """
 
@@ -206,7 +218,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def keep_known(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that are rejected; columns unchanged. The text passes Python once, and rows aren't joined."""
+    """``docs`` without the rows that are rejected; columns unchanged, whatever their names.
+
+    The text passes Python once, and rows aren't joined. Null, empty and letterless
+    texts go; very long ones are judged whole; repeated rows each by
+    themselves; an empty table gives an empty one.
+    """
     model = fit(docs, **options)
     at, names = docs.columns.index("text"), docs.columns
 

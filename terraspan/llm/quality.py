@@ -142,6 +142,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score: the chance of quality 1, from 0 to 1; empty and null texts get the
     score of the zero vector. Without labels every score is 0.5. Rows that
     share a doc_id are scored one by one; an empty table gives an empty one.
+    Very long texts are read whole: a task holds one text's different words and
+    pairs of words at a time. Other columns are ignored, whatever their names.
     """
     measured = materialize(measure(docs), "statistics")
     model = fit(measured, labels)

@@ -55,7 +55,7 @@ def op8_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = langid.predict(docs, langid.fit(docs))
-    return judged.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return judged.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op10_rare_token_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
