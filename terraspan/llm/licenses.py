@@ -1,17 +1,22 @@
 """Licence scans by a positional index of rare tokens.
 
-Templates are short licence notices as word sequences. The inverse document
-frequency of every template word is counted over all documents. Each template
-is looked up by the rarest words of its mandatory key phrase, which no place
-may lack: a document's places of those words are shifted by their offset in the
-template, and starts on which at least two of them agree are candidate places. A candidate counts where the
-template's mandatory key phrase stands at its offset and enough of the other
-words do. Everything runs on DataFrame expressions, without a shuffle of text.
+Templates are licence notices and short licence bodies as word sequences, each
+with a mandatory key phrase; the base phrases are templates that are their own
+key phrase. The inverse document frequency of every key word is counted over
+all documents. A document is scanned for those templates alone whose key words it
+has. For each of them its highest-IDF words are looked up: their places in the
+document (the postings), shifted back by their offsets in the template, are
+intersected, and what is left are candidate starts. A candidate counts where
+the whole key phrase stands at its offset and enough of the other words stand
+in their places.
+
+Everything runs on DataFrame expressions, row by row: no text is shuffled, and
+the work is linear in the words of a document and in the occurrences of its rare words.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +26,38 @@ from .common import materialize
 #: Phrase -> label, the base of every scan.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label -> (notice, mandatory key phrase within it).
+#: Label -> (notice or body, mandatory key phrase within it).
 TEMPLATES = {
     "gpl-notice": ("this work is licensed under the gnu general public license version 3", "gnu general public license"),
     "gpl-terms": ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "redistribute it and or modify it"),
     "apache-notice": ("licensed under the apache license version 2 0", "apache license version 2"),
     "mit-notice": ("released under the mit license", "mit license"),
     "mit-grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
+    "mit-body": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
+        "to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose "
+        "and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+        "use copy modify merge publish distribute sublicense",
+    ),
+    "isc-body": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice "
+        "appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "for any purpose with or without fee is hereby granted",
+    ),
     "cc-notice": ("licensed under cc by", "under cc by"),
     "cc-attribution": ("licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     "bsd-terms": ("redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    "bsd-body": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain "
+        "the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions "
+        "and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistributions of source code must retain",
+    ),
     "mpl-notice": ("subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     "all-rights": ("all rights reserved", "all rights reserved"),
 }
@@ -39,58 +66,87 @@ TEMPLATES = {
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A template's lookup words: the rarest ones of its key phrase, so many.
-RARE = 3
+#: Words of a key phrase that are looked up: those of the highest IDF, so many.
+RARE = 2
 #: Part of a template's words that must stand in their places.
 COVER = 0.8
+#: Score of a wholly covered template where no base phrase stands.
+TEMPLATE_SCORE = 0.9
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TOKEN), 0)
+@dataclass(frozen=True)
+class Template:
+    label: str
+    words: tuple[str, ...]
+    key: tuple[str, ...]
+
+    @classmethod
+    def of(cls, label: str, text: str, key: str) -> Template:
+        out = cls(label, tuple(text.split()), tuple(key.split()))
+        if not out.key or out.at is None:
+            raise ValueError(f"the template {label} doesn't hold its key phrase")
+        return out
+
+    @property
+    def at(self) -> int | None:
+        """Offset of the key phrase."""
+        return next((j for j in range(len(self.words)) if self.words[j : j + len(self.key)] == self.key), None)
 
+    def rare(self, df: dict[str, int]) -> list[tuple[str, int]]:
+        """(word, offset in the template) of the key phrase's words of the highest IDF; ties in the order of the phrase."""
+        first = {w: j for j, w in reversed(list(enumerate(self.key)))}
+        return [(w, self.at + j) for w, j in sorted(first.items(), key=lambda x: (df.get(x[0], 0), x[1]))[:RARE]]
 
-def vocabulary(templates: dict[str, tuple[str, str]]) -> list[str]:
-    return sorted({w for t, _ in templates.values() for w in t.split()} | {w for p in BASE for w in p.split()})
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TOKEN), 0)
 
 
 def word_frequencies(counted: DataFrame) -> dict[str, int]:
-    """Number of documents, of all there are, with each template word; its rows are bounded by the templates' words."""
+    """Number of documents, of all there are, with each key word; its rows are bounded by the templates' words."""
     rows = counted.select(F.explode("known").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     return {r["w"]: r["n"] for r in rows.collect()}
 
 
-def starts_of(phrase: list[str], places: Column, words: Column) -> Column:
-    """Those of ``places`` (0-based) where the phrase's words stand consecutively."""
-    whole = lambda p: reduce(lambda a, b: a & b, [F.coalesce(F.get(words, p + F.lit(j)) == w, F.lit(False)) for j, w in enumerate(phrase)])
-    return F.filter(places, whole)
+def texts(words: tuple[str, ...] | list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
 
-def places_of(word: str, words: Column) -> Column:
-    """0-based places of a word."""
-    marked = F.transform(words, lambda w, i: F.when(w == word, i))
-    return F.filter(marked, lambda i: i.isNotNull())
+def has_all(known: Column, key: tuple[str, ...]) -> Column:
+    """Whether all key words are among the document's."""
+    different = sorted(set(key))
+    return F.size(F.array_intersect(known, texts(different))) == len(different)
 
 
-def rarest(template: list[str], df: dict[str, int], n: int = RARE) -> list[tuple[str, int]]:
-    """(word, offset) of the rarest different words, in the order of the template."""
-    first = {w: j for j, w in reversed(list(enumerate(template)))}
-    return sorted(sorted(first.items(), key=lambda x: (df.get(x[0], 0), x[1]))[:n], key=lambda x: x[1])
+def spots(words: Column, looked: list[str]) -> Column:
+    """Places of any of the looked-up words, from 0: one pass over the document."""
+    return F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(looked), i)))
 
 
-def template_starts(template: list[str], key: list[str], df: dict[str, int], words: Column) -> Column:
-    at = next(j for j in range(len(template)) if template[j : j + len(key)] == key)
-    looked = [(w, at + j) for w, j in rarest(key, df)]
-    back = lambda j: lambda i: i - F.lit(j)  # noqa: E731  one argument: a second one would be taken for the index
-    postings = [F.transform(places_of(w, words), back(j)) for w, j in looked]
-    common = reduce(F.concat, postings)
-    if len(looked) > 1:  # a start needs two of the rare words in their relative places
-        common = F.filter(F.array_distinct(common), lambda s: sum((F.array_contains(p, s).cast("int") for p in postings), F.lit(0)) >= 2)
-    else:
-        common = F.array_distinct(common)
-    there = lambda s, j, w: F.when((s + F.lit(j) >= 0) & F.coalesce(F.get(words, F.greatest(s + F.lit(j), F.lit(0))) == w, F.lit(False)), 1).otherwise(0)
-    mandatory = lambda s: sum((there(s, at + j, w) for j, w in enumerate(key)), F.lit(0)) == len(key)
-    cover = lambda s: sum((there(s, j, w) for j, w in enumerate(template)), F.lit(0)) >= COVER * len(template)
-    return F.array_sort(F.filter(common, lambda s: mandatory(s) & cover(s)))
+def starts_of(template: Template, df: dict[str, int], words: Column, at: Column) -> Column:
+    """Starts (array<int>, ascending) of a template's verified places; ``at``: the places of looked-up words."""
+    is_word = lambda w: lambda i: F.get(words, i) == w  # noqa: E731  one argument each: a second one would be taken for the index
+    back = lambda j: lambda i: i - F.lit(j)
+    found = None
+    for w, j in template.rare(df):
+        shifted = F.transform(F.filter(at, is_word(w)), back(j))
+        found = shifted if found is None else F.array_intersect(found, shifted)
+    return F.filter(found, lambda s: covered(template.key, words, s + F.lit(template.at)) == len(template.key))
+
+
+def covered(expected: tuple[str, ...], words: Column, start: Column) -> Column:
+    """How many of the expected words stand in their places from ``start`` on."""
+    return F.aggregate(
+        F.array(*[F.struct(F.lit(w).alias("w"), F.lit(j).alias("j")) for j, w in enumerate(expected)]),
+        F.lit(0),
+        lambda n, x: n + F.when(F.get(words, start + x["j"]).eqNullSafe(x["w"]), 1).otherwise(0),
+    )
+
+
+def best_cover(template: Template, words: Column, starts: Column) -> Column:
+    """The largest part of the template's words that stand in their places at any of ``starts``; 0 without one."""
+    shares = F.transform(starts, lambda s: covered(template.words, words, s) / F.lit(float(len(template.words))))
+    return F.coalesce(F.array_max(shares), F.lit(0.0))
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -98,38 +154,47 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] | None = None) -
 
     Columns: doc_id, n_words, n_base (all places of base phrases), first_word
     and last_word (smallest and largest start), base_labels, labels (with the
-    templates'), score (1 with a base phrase, else the best covered template's
-    worth 0.9, else 0). Null text counts as empty: no words, no labels. Rows
-    that share a doc_id are scanned one by one. Other columns are ignored.
+    templates'), score: 1 with a base phrase, else TEMPLATE_SCORE times the
+    best cover of a template that counts, else 0.
+
+    Null text counts as empty: no words, no labels. Very long texts are read
+    whole, their places counted without a limit. Rows that share a doc_id are
+    scanned one by one, so repeated rows give repeated results; among words of
+    the same IDF the first of the phrase is looked up. Other columns are
+    ignored, whatever their names; an empty table gives an empty one.
     """
-    templates = TEMPLATES if templates is None else templates
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # a document without any base or key phrase, its words apart by separators, can hold no place
-    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    needed = sorted({*BASE, *(k for _, k in templates.values())})
-    may = F.col("text").rlike("(?i)" + "|".join(gap.join(p.split()) for p in needed))
-    vocab = F.array(*[F.lit(w) for w in vocabulary(templates)])
-    read = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words_of(F.col("text")).alias("all_words"))
-    counted = read.select(
-        "doc_id", F.size("all_words").cast("long").alias("n_words"), F.array_intersect("all_words", vocab).alias("known"), F.when(may, F.col("all_words")).alias("words")
-    )
-    counted = materialize(counted, "licence_words")
+    base = [Template.of(label, p, p) for p, label in BASE.items()]
+    more = [Template.of(label, t, k) for label, (t, k) in (TEMPLATES if templates is None else templates).items()]
+    vocabulary = sorted({w for t in (*base, *more) for w in t.key})
+    read = docs.select("doc_id", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
+    read = read.withColumn("known", F.array_intersect("words", texts(vocabulary)))
+    keys = sorted({t.key for t in (*base, *more)})
+    may = F.lit(False)
+    for key in keys:
+        may = may | has_all(F.col("known"), key)
+    counted = materialize(read.select("doc_id", F.size("words").cast("long").alias("n_words"), "known", F.when(may, F.col("words")).alias("words")), "licence_words")
     df = word_frequencies(counted)
-    words = F.col("words")
-    base = F.array_sort(F.flatten(F.array(*[starts_of(p.split(), places_of(p.split()[0], words), words) for p in BASE])))
-    hits = counted.filter("words is not null").withColumn("starts", base)
-    label = lambda name, found: F.when(F.size(found) > 0, F.lit(name))
-    based = [label(name, starts_of(p.split(), places_of(p.split()[0], words), words)) for p, name in BASE.items()]
-    more = [label(name, template_starts(t.split(), k.split(), df, words)) for name, (t, k) in templates.items()]
-    hits = hits.withColumn("based", F.array_sort(F.array_distinct(F.array_compact(F.array(*based)))))
-    hits = hits.withColumn("more", F.array_sort(F.array_distinct(F.array_compact(F.array(*based, *more)))))
+    looked = sorted({w for t in (*base, *more) for w, _ in t.rare(df)})
+    words, known = F.col("words"), F.col("known")
+    hits = counted.filter("words is not null").withColumn("at", spots(words, looked))
+    none = F.array().cast("array<int>")
+    starts = lambda t: F.when(has_all(known, t.key), starts_of(t, df, words, F.col("at"))).otherwise(none)  # noqa: E731  only templates that the document can hold
+    hits = hits.select("doc_id", "n_words", "words", *[starts(t).alias(f"b{i}") for i, t in enumerate(base)], *[starts(t).alias(f"m{i}") for i, t in enumerate(more)])
+    hits = hits.select(
+        "doc_id", "n_words", F.flatten(F.array(*[F.col(f"b{i}") for i in range(len(base))])).alias("starts"),
+        F.array_compact(F.array(*[F.when(F.size(f"b{i}") > 0, F.lit(t.label)) for i, t in enumerate(base)])).alias("based"),
+        F.array(*[F.struct(F.lit(t.label).alias("label"), F.when(F.size(f"m{i}") > 0, best_cover(t, words, F.col(f"m{i}"))).otherwise(0.0).alias("cover")) for i, t in enumerate(more)]).alias("covers"),
+    )
+    hits = hits.withColumn("covers", F.filter("covers", lambda c: c["cover"] >= COVER))
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    best = F.coalesce(F.array_max(F.transform("covers", lambda c: c["cover"])), F.lit(0.0))
     found = hits.select(
-        "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"), F.get("starts", F.lit(0)).cast("long").alias("first_word"),
-        F.try_element_at("starts", F.lit(-1)).cast("long").alias("last_word"), F.array_join("based", ",").alias("base_labels"), F.array_join("more", ",").alias("labels"),
-        F.when(F.size("starts") > 0, 1.0).when(F.size("more") > 0, 0.9).otherwise(0.0).alias("score"),
+        "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
+        joined(F.col("based")).alias("base_labels"), joined(F.concat("based", F.transform("covers", lambda c: c["label"]))).alias("labels"),
+        F.when(F.size("starts") > 0, 1.0).otherwise(TEMPLATE_SCORE * best).alias("score"),
     )
-    none = counted.filter("words is null").select(
+    nothing = counted.filter("words is null").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"),
         F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"),
     )
-    return found.unionByName(none)
+    return found.unionByName(nothing)
