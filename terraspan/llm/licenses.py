@@ -62,8 +62,8 @@ TEMPLATES = {
     "all-rights": ("all rights reserved", "all rights reserved"),
 }
 
-#: A word of the original text: ASCII letters and digits and everything beyond ASCII.
-TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII signs other than digits and letters: words lie between them.
+SIGNS = "".join(map(chr, (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words of a key phrase that are looked up: those of the highest IDF, so many.
@@ -99,7 +99,8 @@ class Template:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TOKEN), 0)
+    """Words in lower case: runs of ASCII letters, digits and whatever lies beyond ASCII."""
+    return F.array_remove(F.split(F.translate(text, UPPER + SIGNS, LOWER + " " * len(SIGNS)), " "), "")
 
 
 def word_frequencies(counted: DataFrame) -> dict[str, int]:
@@ -109,7 +110,7 @@ def word_frequencies(counted: DataFrame) -> dict[str, int]:
 
 
 def texts(words: tuple[str, ...] | list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return F.split(F.lit(" ".join(words)), " ")  # one literal, folded before it runs
 
 
 def has_all(known: Column, key: tuple[str, ...]) -> Column:
@@ -136,11 +137,8 @@ def starts_of(template: Template, df: dict[str, int], words: Column, at: Column)
 
 def covered(expected: tuple[str, ...], words: Column, start: Column) -> Column:
     """How many of the expected words stand in their places from ``start`` on."""
-    return F.aggregate(
-        F.array(*[F.struct(F.lit(w).alias("w"), F.lit(j).alias("j")) for j, w in enumerate(expected)]),
-        F.lit(0),
-        lambda n, x: n + F.when(F.get(words, start + x["j"]).eqNullSafe(x["w"]), 1).otherwise(0),
-    )
+    stands = F.transform(texts(expected), lambda w, j: F.when(F.get(words, start + j) == w, 1).otherwise(0))
+    return F.aggregate(stands, F.lit(0), lambda n, x: n + x)
 
 
 def best_cover(template: Template, words: Column, starts: Column) -> Column:
