@@ -83,24 +83,38 @@ SCREEN_KEYS = 30_000_000
 _BITMAP = 32_768
 
 
-def screen(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be among ``keys`` (one column of that name): all that are and about 1 in 16 others.
+def flagged(df: DataFrame, column: str, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: true on all rows whose ``column`` is among ``keys`` (one column of that name) and on about 1 in 16 others.
 
-    The screen is a bitmap of 16 bits a key, broadcast in pieces of 4 KB, so
-    that a wide table needn't be shuffled to meet a few keys. With more keys
-    than SCREEN_KEYS nothing is screened: the join behind it decides alone.
+    The flag comes from a bitmap of 16 bits a key, broadcast in pieces of 4 KB,
+    so that a wide table needn't be shuffled to meet a few keys. With more keys
+    than SCREEN_KEYS every row is flagged: the join behind it decides alone.
     """
     n = keys.count()
     if n > SCREEN_KEYS:
-        return df
+        return df.withColumn(name, F.lit(True))
     pieces = max(1, math.ceil(n * 16 / _BITMAP))
     place = F.pmod(F.xxhash64(column), F.lit(pieces * _BITMAP))
     put = keys.select(F.floor(place / _BITMAP).alias("_piece"), F.bitmap_bit_position(place % _BITMAP + 1).alias("_bit"))
     bits = put.groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     bit = place % _BITMAP
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = df.withColumn("_piece", F.floor(place / _BITMAP)).join(F.broadcast(bits), "_piece")
-    return met.filter(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).drop("_piece", "_bits")
+    met = df.withColumn("_piece", F.floor(place / _BITMAP)).join(F.broadcast(bits), "_piece", "left")
+    return met.withColumn(name, F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))).drop("_piece", "_bits")
+
+
+def screen(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``keys``: all that are and about 1 in 16 others."""
+    return flagged(df, column, keys, "_may").filter("_may").drop("_may")
+
+
+#: Rows of a lookup table that are broadcast at most, at some 50 bytes each.
+LOOKUP_ROWS = 500_000
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """``df``, a table at rest, ready to be joined: broadcast where it has LOOKUP_ROWS rows at most, else merged."""
+    return F.broadcast(df) if df.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else df.hint("merge")
 
 
 def word_count(text: Column) -> Column:

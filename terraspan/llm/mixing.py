@@ -28,11 +28,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import global_index, materialize, word_count
+from .common import global_index, lookup, materialize, word_count
 
 #: Beyond this many documents of one source and size, the choice of those that get one more copy is dealt over several tasks.
 CELL_ROWS = 100_000
-NEWTON_STEPS = 60
+#: Newton iterations at most, and how many of them one job makes before it looks whether they have converged.
+NEWTON_STEPS, STEPS_A_JOB = 60, 4
 
 
 def _hash(*cols: Column) -> Column:
@@ -72,33 +73,26 @@ def solve_dual(hist: DataFrame, targets: DataFrame, ceiling: float, tolerance: f
         F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"),
         ((F.col("total") == 0) | (want >= ceiling * F.col("total") * (1 - 1e-9))).alias("done"),
     )
-    state = materialize(state, "dual")
-    for _ in range(NEWTON_STEPS):
+    for _ in range(NEWTON_STEPS // STEPS_A_JOB):
+        for _ in range(STEPS_A_JOB):
+            state = newton_step(hist, state, ceiling, tolerance)
+        state = materialize(state, "dual")
         if state.filter(~F.col("done")).isEmpty():
             break
-        rate = F.exp(F.col("lam") * F.col("x"))
-        mass = F.col("n") * F.col("mass")
-        sums = (
-            hist.join(state.filter(~F.col("done")).select("place", "lam"), "place")
-            .groupBy("place")
-            .agg(F.sum(mass * F.least(rate, F.lit(ceiling))).alias("f"), F.sum(F.when(rate < ceiling, mass * F.col("x") * rate).otherwise(0.0)).alias("g"))
-        )
-        lo = F.when(F.col("f") < want, F.col("lam")).otherwise(F.col("lo"))
-        hi = F.when(F.col("f") >= want, F.col("lam")).otherwise(F.col("hi"))
-        step = F.col("lam") + F.try_divide(want - F.col("f"), F.col("g"))
-        near = F.abs(F.col("f") - want) <= tolerance * want
-        done = F.col("done") | F.coalesce(near, F.lit(False)) | (F.col("hi") - F.col("lo") < 1e-12)
-        state = (
-            state.join(sums, "place", "left")
-            .withColumn("done", done)
-            .withColumn("step", step)
-            .withColumn("lo", F.when(F.col("f").isNull(), F.col("lo")).otherwise(lo))
-            .withColumn("hi", F.when(F.col("f").isNull(), F.col("hi")).otherwise(hi))
-            .withColumn("lam", F.when(F.col("done"), F.col("lam")).when((F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi")), F.col("step")).otherwise((F.col("lo") + F.col("hi")) / 2))
-            .select("place", "target", "total", "lam", "lo", "hi", "done")
-        )
-        state = materialize(state, "dual")
-    return state.select("place", "lam")
+    # what the order of sums leaves in the last digits goes, so that reruns round alike
+    return state.select("place", F.round("lam", 9).alias("lam"))
+
+
+def newton_step(hist: DataFrame, state: DataFrame, ceiling: float, tolerance: float) -> DataFrame:
+    """The state after one guarded step: the gradient and the curvature of every source in one aggregation."""
+    own = ["place", "target", "total", "lam", "lo", "hi", "done"]
+    rate, mass, want = F.exp(F.col("lam") * F.col("x")), F.col("n") * F.col("mass"), F.col("target")
+    sums = hist.join(state, "place").groupBy(*own).agg(F.sum(mass * F.least(rate, F.lit(ceiling))).alias("f"), F.sum(F.when(rate < ceiling, mass * F.col("x") * rate).otherwise(0.0)).alias("g"))
+    done = F.col("done") | (F.abs(F.col("f") - want) <= tolerance * want) | (F.col("hi") - F.col("lo") < 1e-12)
+    sums = sums.withColumns({"lo": F.when(F.col("f") < want, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(F.col("f") >= want, F.col("lam")).otherwise(F.col("hi")), "done": done})
+    step = F.col("lam") + F.try_divide(want - F.col("f"), F.col("g"))
+    inside = (step > F.col("lo")) & (step < F.col("hi"))
+    return sums.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2)).select(*own)
 
 
 def _round_cells(cells: pd.DataFrame) -> pd.DataFrame:
@@ -116,22 +110,13 @@ def _round_cells(cells: pd.DataFrame) -> pd.DataFrame:
     return cells.assign(more=more)[["place", "mass", "more"]]
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), ceiling: int = 3, size: Column | None = None) -> DataFrame:
-    """``docs`` (doc_id, text, source and whatever else) with what the mix takes of each row.
-
-    Added columns: size, source_size, target, rate, copies, taken
-    (= copies x size); they replace columns of those names.
+def rules(items: DataFrame, weights: tuple[float, ...], ceiling: int) -> DataFrame:
+    """What decides of every document: source, mass, source_size, target, rate, cuts.
 
-    Null text has size 0; a null source is a source of its own, ordered last.
-    Rows alike in doc_id, source and size share one decision and are weighed
-    together. Documents of size 0 keep one copy and take nothing. An empty
-    table gives an empty one. The text itself is never shuffled: all decisions
-    are made on (doc_id, source, size), and joined back by them.
+    ``items``: doc_id, source, size, m and mass, one row for each different (doc_id, source, size).
+    A document of a source and mass takes ``floor(rate)`` copies, and one more
+    if its draw is at most the cut of its salt.
     """
-    keys = ["doc_id", "source", "size"]
-    size = word_count(F.col("text")) if size is None else size
-    sized = docs.withColumn("size", size.cast("long"))
-    items = materialize(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).withColumn("mass", F.col("m") * F.col("size")), "items")
     hist = items.groupBy("source", "mass").agg(F.count(F.lit(1)).alias("n"))
     sources = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("mass")).alias("total"), F.sum("n").alias("docs"))
     targets = materialize(source_targets(sources, weights, float(ceiling)), "targets")
@@ -149,35 +134,80 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), ceilin
     cells = materialize(
         cells.join(more, ["place", "mass"])
         .join(targets.select("place", "source", F.col("total").alias("source_size"), "target"), "place")
-        .withColumn("salts", F.ceil(F.col("n") / CELL_ROWS)),
+        .withColumn("salts", F.ceil(F.col("n") / CELL_ROWS).cast("int")),
         "cells",
     )
     place = ["place", "mass", "salt"]
     dealt = (
-        items.alias("i").join(cells.alias("c"), F.col("i.source").eqNullSafe(F.col("c.source")) & (F.col("i.mass") == F.col("c.mass")))
-        .select(*[f"i.{k}" for k in keys], "c.place", "c.mass", "c.n", "c.rate", "c.more", "c.salts", "c.source_size", "c.target")
-        .withColumn("draw", _hash(F.col("doc_id"), F.col("source")))
-        .withColumn("salt", F.pmod(F.xxhash64("draw"), F.col("salts")))
+        items.alias("i").join(lookup(cells).alias("c"), F.col("i.source").eqNullSafe(F.col("c.source")) & (F.col("i.mass") == F.col("c.mass")))
+        .select("i.doc_id", "c.place", "c.mass", "c.n", "c.more", "c.salts", draw_of(F.col("i.doc_id"), F.col("i.source")).alias("draw"))
+        .withColumn("salt", salt_of(F.col("draw"), F.col("salts")))
     )
     subs = dealt.groupBy(*place).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("all"), F.first("more").alias("k"))
     cum = F.sum("c").over(Window.partitionBy("place", "mass").orderBy("salt"))
     upto = lambda c: F.expr(f"(k * ({c})) div all")
     subs = subs.withColumn("cum", cum).select(*place, (upto("cum") - upto("cum - c")).alias("k"))
     rank = F.row_number().over(Window.partitionBy(*place).orderBy("draw", "doc_id"))
-    decided = (
-        dealt.join(subs, place)
-        .withColumn("copies", (F.floor("rate") + F.when(rank <= F.col("k"), 1).otherwise(0)).cast("int"))
-        .select(*keys, "source_size", "target", "rate", "copies")
-    )
-    added = ["source_size", "target", "rate", "copies", "taken"]
-    on = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.size") == F.col("m.size"))
-    out = sized.drop(*added).alias("d").join(decided.alias("m"), on).select("d.*", "m.source_size", "m.target", "m.rate", "m.copies")
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    last = dealt.withColumn("rank", rank).join(subs, place).filter(F.col("rank") == F.col("k")).select(*place, "draw")
+    cuts = last.groupBy("place", "mass").agg(F.map_from_entries(F.collect_list(F.struct("salt", "draw"))).alias("cuts"))  # one entry for each CELL_ROWS documents
+    return materialize(cells.join(cuts, ["place", "mass"], "left").select("source", "mass", "source_size", "target", "rate", "salts", "cuts"), "rules")
+
+
+def draw_of(doc_id: Column, source: Column) -> Column:
+    return _hash(doc_id, source)
+
+
+def salt_of(draw: Column, salts: Column) -> Column:
+    return F.pmod(F.xxhash64(draw), salts).cast("int")
+
+
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), ceiling: int = 3, size: Column | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, source and whatever else) with what the mix takes of each row.
+
+    Added columns: size, source_size, target, rate, copies, taken
+    (= copies x size); they replace columns of those names. Any other name may occur.
+
+    Null text has size 0; a null source is a source of its own, ordered last;
+    a null doc_id is an id like any other. Rows alike in doc_id, source and
+    size share one decision and are weighed together; otherwise ties are
+    settled by a hash of doc_id and source. Documents of size 0 keep one copy
+    and take nothing. Very long texts are counted whole. An empty table gives
+    an empty one.
+
+    Decisions are made on (doc_id, source, size). What is joined to the rows
+    is one rule for each source and size, and the rows that share an id; each
+    is broadcast if it has LOOKUP_ROWS rows at most, so that no text is
+    shuffled, and merged with the rows beyond that.
+    """
+    added = ["size", "source_size", "target", "rate", "copies", "taken"]
+    column = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    size = word_count(F.col("text")) if size is None else size
+    sized = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), "doc_id", "source", size.cast("long").alias("size"))
+    keys = ["doc_id", "source", "size"]
+    items = materialize(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).withColumn("mass", F.col("m") * F.col("size")), "items")
+    found = rules(items, weights, ceiling)
+    repeated = items.filter("m > 1").select(*keys, "m")
+    if repeated.isEmpty():
+        massed = sized.withColumn("mass", F.col("size"))
+    else:
+        alike = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.size") == F.col("r.size"))
+        massed = sized.alias("d").join(lookup(repeated).alias("r"), alike, "left").select("d.*", (F.col("d.size") * F.coalesce("r.m", F.lit(1))).alias("mass"))
+    same = F.col("d.source").eqNullSafe(F.col("u.source")) & (F.col("d.mass") == F.col("u.mass"))
+    out = massed.alias("d").join(lookup(found).alias("u"), same).select("d.row", "d.doc_id", "d.source", "d.size", "u.source_size", "u.target", "u.rate", "u.salts", "u.cuts")
+    draw = draw_of(F.col("doc_id"), F.col("source"))
+    one_more = F.coalesce(draw <= F.try_element_at("cuts", salt_of(draw, F.col("salts"))), F.lit(False))
+    copies = (F.floor("rate") + F.when(one_more, 1).otherwise(0)).cast("int").alias("copies")
+    out = out.select("row", *added[:4], copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], *added)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as many times as it is taken, columns unchanged."""
+    """The mix itself: every row of ``docs`` as many times as it is taken, columns unchanged, whatever their names.
+
+    Rows of size 0 (null and empty texts) stay once. Otherwise as in ``mix``.
+    """
     names = docs.columns
-    plan = mix(docs.withColumn("_row", F.struct(*[docs[c] for c in names])), **options)
+    column = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    plan = mix(docs.select("doc_id", "text", "source", F.struct(*[column(c) for c in names]).alias("_row")), **options)
     repeated = plan.filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return repeated.select([F.col(f"_row.`{c}`").alias(c) for c in names])
+    return repeated.select([F.col("_row").getField(c).alias(c) for c in names])

@@ -1,9 +1,10 @@
+import math
 import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from terraspan.llm import mixing
+from terraspan.llm import common, mixing
 
 from .cases import empty, frame, rows
 
@@ -44,6 +45,53 @@ def test_targets_bounds_and_reruns(spark):
     assert check(spark, docs, rows()) == check(spark, docs.repartition(5), rows())
 
 
+def test_merged_lookups_give_the_same(spark, monkeypatch):
+    docs = frame(spark)
+    broadcast = check(spark, docs, rows())
+    monkeypatch.setattr(common, "LOOKUP_ROWS", 3)
+    assert check(spark, docs, rows()) == broadcast
+
+
+def test_names_that_clash(spark):
+    names = ["size", "m", "mass", "row", "rate", "copies", "cuts", "salt", "draw", "a.b", "_row", "_copy", "place", "u"]
+    docs = spark.createDataFrame([(i, "one two " * (i % 7), "s" + str(i % 2), *[i] * len(names)) for i in range(40)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}
+    plain = {r["doc_id"]: (r["copies"], r["taken"]) for r in mixing.mix(docs.select("doc_id", "text", "source")).collect()}
+    got = mixing.mix(docs)
+    assert got.columns[-6:] == ["size", "source_size", "target", "rate", "copies", "taken"] and {r["doc_id"]: (r["copies"], r["taken"]) for r in got.collect()} == plain
+
+
+def test_tilt_and_copies_equal_a_plain_solution(spark):
+    """Multipliers by bisection of each source's own constraint; copies by the rule of the running total and the hash, document by document."""
+    docs = frame(spark).dropDuplicates(["doc_id", "source", "size"]).drop("size").filter("doc_id is not null and doc_id != 35")
+    got = mixing.mix(docs).withColumn("draw", F.xxhash64("doc_id", "source", F.lit(20_231))).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["source"]].append(r)
+    target = expected_targets({s: sum(r["size"] for r in own) for s, own in by.items()})
+    for s, own in by.items():
+        mean = sum(r["size"] for r in own) / len(own)
+        rates = lambda lam: [min(3.0, math.exp(min(50.0, lam * (2 * r["size"] / (r["size"] + mean) if r["size"] else 0.0)))) for r in own]  # noqa: E731, B023
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            if sum(x * r["size"] for x, r in zip(rates(mid), own)) < target[s]:
+                low = mid
+            else:
+                high = mid
+        want = rates((low + high) / 2)
+        assert all(abs(r["rate"] - x) < 1e-4 for r, x in zip(own, want))
+        left = 0.0
+        for size in sorted({r["size"] for r in own}, reverse=True):
+            cell = sorted((r for r in own if r["size"] == size), key=lambda r: r["draw"])
+            rate = cell[0]["rate"]
+            part = len(cell) * (rate - math.floor(rate))
+            k = min(len(cell), max(0, math.floor(part + left / size + 0.5))) if size else 0
+            left += (part - k) * size
+            assert [r["copies"] for r in cell] == [math.floor(rate) + (i < k) for i in range(len(cell))]
+
+
 def test_dual_meets_its_constraints(spark):
     docs = frame(spark)
     rate = mixing.mix(docs).groupBy("source").agg(F.sum(F.col("rate") * F.col("size")).alias("f"), F.first("target").alias("t")).collect()
