@@ -53,21 +53,26 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 def remove_boilerplate(docs: DataFrame, *, min_sites: int = 5) -> DataFrame:
     """``docs`` without the lines that stand on ``min_sites`` distinct sources or more.
 
-    Added columns: n_lines, n_removed (lines of the document that went). Null
-    text stays null with no lines removed; blank lines are never boilerplate; a
-    null source is one site. Rows that share a doc_id share what is removed
-    from them only where they hold the line. Columns of the added names are
-    replaced; an empty table gives an empty one.
+    Added columns: n_lines, n_removed (lines of the document that went);
+    columns of those names are replaced, any other name may occur. Null text
+    stays null with no lines removed; empty text is one blank line, and blank
+    lines are never boilerplate; a null source is one site. Rows that share a
+    doc_id, or have none, share what is removed from them only where they hold
+    the line. Very long texts are split whole; a line repeated within a text
+    counts once. A line on exactly ``min_sites`` sources goes. An empty table gives an empty one.
     """
-    docs = docs.drop("n_lines", "n_removed", "_gone")
-    lines = materialize(exploded(docs), "lines")  # hashes only; the text is split once for them and once for the result
+    added = ("n_lines", "n_removed")
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (*added, "text")]) if set(docs.columns) - {*added, "text"} else F.lit(None)
+    rows = docs.select("doc_id", "text", "source", held.alias("row"))
+    lines = materialize(exploded(rows), "lines")  # hashes only; the text is split once for them and once for the result
     bad = materialize(boilerplate(lines, min_sites), "boilerplate")
     # only (doc_id, hash) of lines that go is collected, never text
-    gone = lines.select("doc_id", "a", "b").join(bad, ["a", "b"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
-    gone = gone.withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left").drop("_id")
-    parts, touched = lines_of(F.col("text")), F.col("_gone").isNotNull() & F.col("text").isNotNull()
-    kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), line_hash(x)), F.lit(False)))
-    out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))).withColumn("_kept", F.when(touched, kept))
-    out = out.withColumn("n_removed", F.when(touched, F.col("n_lines") - F.size("_kept")).otherwise(0))
-    return out.withColumn("text", F.when(touched, F.array_join("_kept", "\n")).otherwise(F.col("text"))).drop("_gone", "_kept")
+    gone = lines.select("doc_id", "a", "b").join(bad, ["a", "b"], "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    parts, touched = lines_of(F.col("text")), F.col("gone").isNotNull() & F.col("text").isNotNull()
+    kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col("gone"), line_hash(x)), F.lit(False)))
+    out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))).withColumn("kept", F.when(touched, kept))
+    out = out.withColumn("n_removed", F.when(touched, F.col("n_lines") - F.size("kept")).otherwise(0))
+    text = F.when(touched, F.array_join("kept", "\n")).otherwise(F.col("text"))
+    own = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in added]
+    return out.select(*own, *added)
