@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordIds, ascii_words, materialize, mix64, screen, shingle_hashes, values
+from .common import GOLDEN, WordIds, ascii_words, flagged, materialize, mix64, screen, shingle_hashes, values
 
 BANDS, ROWS = 48, 5
 COORDINATES = BANDS * ROWS
@@ -325,14 +325,22 @@ def group(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates; columns unchanged.
+    """``docs`` with one row of each group of near-duplicates; columns unchanged, whatever their names.
 
     Where several rows share the id that stays, one of them does. Rows without
-    an id can't be told apart by it and stay.
+    an id can't be told apart by it and stay, and so do null, empty and
+    wordless texts. Very long texts are compared whole. An empty table gives an empty one.
+
+    The texts that are shuffled are those of the documents that go or share an
+    id, and 1 in 16 others; where more than SCREEN_KEYS documents go, all are.
     """
-    grouped = materialize(group(docs), "near_groups")
-    staying = grouped.filter("kept and doc_id is not null").select("doc_id")
-    kept = docs.join(staying.distinct(), "doc_id", "left_semi")
-    repeated = not staying.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    kept = kept.dropDuplicates(["doc_id"]) if repeated else kept
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    ids = materialize(group(docs), "near_groups").filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    unsure = materialize(ids.filter("not stays or n > 1"), "unsure_ids")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id")
+    rows = flagged(rows, "doc_id", unsure.select("doc_id"), "may")
+    sure = rows.filter("not may or doc_id is null").select("row")
+    judged = rows.filter("may and doc_id is not null").join(unsure.hint("merge"), "doc_id", "left")
+    out = sure.unionByName(judged.filter("stays is null or (stays and n = 1)").select("row"))
+    if not unsure.filter("stays and n > 1").isEmpty():
+        out = out.unionByName(judged.filter("stays and n > 1").dropDuplicates(["doc_id"]).select("row"))
+    return out.select([F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from terraspan.llm import exact_dedup, line_dedup, near_dedup
+from terraspan.llm import common, exact_dedup, line_dedup, near_dedup
 
 from .cases import empty, frame, rows, sentence
 
@@ -72,6 +72,15 @@ def test_line_dedup(spark):
     assert line_dedup.remove_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["_id", "_kept", "kept", "gone", "row", "a", "b", "site", "id", "parts", "n_lines", "a.b"]
+    text = "\n".join(["shared", "own"])
+    docs = spark.createDataFrame([(i, text + str(i), f"s{i}", *[i] * len(names)) for i in range(8)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = line_dedup.remove_boilerplate(docs)
+    assert out.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(i, f"own{i}", f"s{i}", *[i] * (len(names) - 1), 2, 1) for i in range(8)]
+
+
 def sets_of(data):
     out = {}
     for d, t, *_ in data:
@@ -130,6 +139,45 @@ def test_near_dedup_with_nulls_and_repeats(spark):
     assert near_dedup.group(empty(spark)).count() == 0
 
 
+def test_one_of_each_group_stays_by_either_plan(spark, monkeypatch):
+    """Columns whose names clash, and the plan of many keys, give the same rows."""
+    names = ["row", "may", "stays", "n", "id", "_piece", "component", "bits", "a.b"]
+    docs = frame(spark).select("doc_id", "text", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    few = sorted(map(str, near_dedup.keep_one(docs).collect()))
+    kept = {r["doc_id"] for r in near_dedup.group(docs).filter("kept").collect()}
+    assert near_dedup.keep_one(docs).columns == docs.columns and Counter(r["doc_id"] for r in near_dedup.keep_one(docs).collect()) == Counter([*(kept - {None}), None, None])
+    monkeypatch.setattr(common, "SCREEN_KEYS", 0)
+    assert sorted(map(str, near_dedup.keep_one(docs).collect())) == few
+    assert near_dedup.keep_one(empty(spark)).count() == 0
+
+
+def test_exact_dedup_without_a_screen(spark, monkeypatch):
+    docs, want = frame(spark), exact_truth(rows())
+    monkeypatch.setattr(common, "SCREEN_KEYS", 0)
+    assert Counter(map(tuple, exact_dedup.deduplicate(docs.withColumn("_new", F.lit(3)).withColumn("digest", F.lit("x"))).collect())) == want
+
+
+def test_every_planted_pair_of_a_shared_bucket_is_met_once():
+    """Pairs at 0.75 to 0.76 that reach the last step: each is looked at in exactly one of the buckets that it shares."""
+    rng, pairs, met, shared = np.random.default_rng(12), 4000, 0, 0
+    for _ in range(pairs):
+        n = int(rng.integers(40, 400))
+        m = int(np.ceil(1.5 * n / 1.75 / 2 * 2))  # 2 n - m elements in all, m in common: m / (2 n - m) = 0.75 or a little more
+        both = rng.integers(0, 1 << 63, 2 * n - m, dtype=np.uint64)
+        assert 0.75 <= m / (2 * n - m) < 0.79
+        sketches = [near_dedup.sketch(np.sort(x)) for x in (both[:n], both[n - m :])]
+        bands, bits = [near_dedup.band_keys(s) for s in sketches], [near_dedup.mix64(s).astype(np.uint8).tobytes() for s in sketches]
+        common_bands = np.flatnonzero(bands[0] == bands[1])
+        shared += len(common_bands) > 0
+        found = 0
+        for b in common_bands[:3]:  # later ones are skipped by the same rule
+            group = pd.DataFrame([(int(bands[0][b]), 0, 0, i, i, n, 0, bits[i], bands[i]) for i in (0, 1)], columns=["key", "low", "high", "id", "component", "n", "chunk", "bits", "bands"])
+            found += len(near_dedup._Block(group, first_band_only=True).a)
+        assert found == (len(common_bands) > 0)
+        met += found
+    assert met == shared and shared >= pairs - 1  # 2 in a million miss each other in all bands
+
+
 def test_sketch_fills_every_coordinate_and_estimates():
     rng = np.random.default_rng(4)
     for n in (1, 3, 50, 5000):
