@@ -17,19 +17,25 @@ similarity with any item of their length are skipped before they are
 fingerprinted; that bound is exact.
 
 Words are letters and digits in lower case, so case and punctuation don't matter.
+
+Documents are read and cut into words once, however large the benchmark is: it is
+dealt into blocks of BLOCK_ITEMS items that Spark broadcasts one by one, and each
+worker holds READY of their indexes at a time.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+import uuid
+from collections import OrderedDict, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +44,10 @@ from .common import GOLDEN, WordIds, blocks_for, mix64, shingle_hashes, values
 SHINGLE = 5
 SIMILARITY = 0.75
 BITS, BLOCKS, RADIUS = 128, 8, 39
-#: Items of the benchmark that one pass over the documents looks for; more items, more passes.
-PASS_ITEMS = 20_000
+#: Items of a block of the benchmark, and the blocks' indexes that a worker holds.
+BLOCK_ITEMS, READY = 20_000, 2
+#: Bytes of text whose words are held while the blocks of a larger benchmark go by.
+GROUP_BYTES = 16 << 20
 #: The middles of 256 equal shares of the normal distribution, times 64.
 _NORMAL = np.array([round(64 * NormalDist().inv_cdf((i + 0.5) / 256)) for i in range(256)], np.int64)
 TOKEN = re.compile(r"[^\W_]+")
@@ -100,9 +108,26 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray, weight) -> float:
     return float((w * np.minimum(na, nb)).sum()) / top if top else 0.0
 
 
+@dataclass
+class Words:
+    """A text as word hashes, with the hashes of its shingles, made once for all blocks."""
+
+    ids: np.ndarray
+    hashes: dict[int, np.ndarray] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, text: str | None, known: WordIds) -> Words:
+        return cls(known.of(words_of(text or "")))
+
+    def shingles(self, k: int) -> np.ndarray:
+        if k not in self.hashes:
+            self.hashes[k] = shingle_hashes(self.ids, k)
+        return self.hashes[k]
+
+
 @dataclass
 class Index:
-    """The items of one pass. Rebuilt by each Python worker from (item_id, text) rows.
+    """The items of one block. Built by each Python worker from (item_id, text) rows.
 
     ``total`` is the number of items of the whole benchmark, ``many`` and
     ``times`` the shingles (ascending) that several of those hold and in how many;
@@ -115,9 +140,6 @@ class Index:
     times: np.ndarray | None = field(default=None, compare=False)
     ready: bool = field(default=False, compare=False)
 
-    def __reduce__(self):
-        return Index, (self.items, self.total, self.many, self.times)
-
     def build(self) -> None:
         self.words = WordIds()
         self.ids, self.shingles = [], []
@@ -192,17 +214,20 @@ class Index:
 
     def search(self, text: str | None) -> list[tuple[int, int, float]]:
         """(item_id, first word, similarity) of the best window for each item that the text holds."""
+        return self.find(Words.of(text, WordIds()))
+
+    def find(self, text: Words) -> list[tuple[int, int, float]]:
         if not self.ready:
             self.build()
-        if not text or not self.by_length:
+        ids = text.ids
+        if not len(ids) or not self.by_length:
             return []
-        ids = self._ids(words_of(text))
         best: dict[int, tuple[float, int]] = {}
         for k in range(1, SHINGLE + 1):
             own = [n for n in self.by_length if min(n, SHINGLE) == k]
             if not own or len(ids) < k:
                 continue
-            hashes = shingle_hashes(ids, k)
+            hashes = text.shingles(k)
             for n, (where, weight) in self.hits(hashes).items():
                 if min(n, SHINGLE) != k:
                     continue
@@ -237,15 +262,80 @@ def repeated_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return many[order], times[order].astype(np.uint32)
 
 
-def passes(benchmark: DataFrame, per_pass: int = PASS_ITEMS) -> Iterator[Index]:
-    """The benchmark in blocks of about ``per_pass`` items, one block in the driver at a time; weights are those of the whole benchmark."""
+#: This worker's indexes, the ones used last; they outlive a task.
+_built: OrderedDict[str, Index] = OrderedDict()
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """The whole benchmark as broadcast blocks of items, and the broadcast weights where there are several blocks."""
+
+    token: str
+    items: tuple[Broadcast, ...]
+    weights: Broadcast | None
+
+    def index(self, k: int) -> Index:
+        name = f"{self.token}/{k}"
+        if name not in _built:
+            index = Index(self.items[k].value, *(self.weights.value if self.weights else ()))
+            index.build()
+            while len(_built) >= READY:
+                _built.popitem(last=False)
+            _built[name] = index
+        _built.move_to_end(name)
+        return _built[name]
+
+    def search(self, texts: Iterable[str | None], first_only: bool) -> Iterator[list[tuple[int, int, float]]]:
+        """Of each text what ``Index.search`` tells, over all blocks; with ``first_only`` no more once a block has told something."""
+        known = WordIds()
+        if len(self.items) == 1:  # texts come and go one at a time
+            index = self.index(0)
+            for t in texts:
+                yield index.find(Words.of(t, known))
+            return
+        held = [Words.of(t, known) for t in texts]
+        found: list[list[tuple[int, int, float]]] = [[] for _ in held]
+        for k in range(len(self.items)):
+            index = self.index(k)
+            for i, words in enumerate(held):
+                if not (first_only and found[i]):
+                    found[i] += index.find(words)
+        yield from map(sorted, found)
+
+
+def blocks_of(benchmark: DataFrame, per_block: int | None = None) -> Blocks:
+    """The benchmark in blocks of about ``per_block`` items; the driver collects one block at a time and keeps none. Weights are those of the whole benchmark."""
+    context = benchmark.sparkSession.sparkContext
     rows = benchmark.select("item_id", "text").filter("text is not null").distinct()
     n = rows.count()
-    cut = blocks_for(n, per_pass)
-    weights = (n, *repeated_shingles(rows)) if cut > 1 else ()
+    cut = blocks_for(n, per_block or BLOCK_ITEMS)
+
+    def sent(value) -> Broadcast:
+        out = context.broadcast(value)
+        out.__dict__.pop("_value", None)  # it is on disk now, where executors fetch it
+        return out
+
+    items = []
     for p in range(cut):
         own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(cut)) == p).orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"], r["text"]) for r in own], *weights)
+        items.append(sent([(r["item_id"], r["text"]) for r in own]))
+    return Blocks(uuid.uuid4().hex, tuple(items), sent((n, *repeated_shingles(rows))) if cut > 1 else None)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], several: bool) -> Iterator[pa.RecordBatch]:
+    """Batches as they come, or, for several blocks, put together to about GROUP_BYTES, so that an index is fetched less often."""
+    if not several:
+        yield from batches
+        return
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GROUP_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -253,32 +343,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts hold nothing, and items without words are in nothing.
     Items shorter than five words are one shingle and need their exact words.
-    Documents shorter than an item are one window. Among equal windows the
-    first counts. Repeated rows give repeated results; other columns are
-    ignored; empty tables give an empty one.
+    Documents shorter than an item are one window; very long ones are searched
+    whole. Among equal windows the first counts; of several items that match,
+    alike or not, each is told. Equal rows of the benchmark count as one item.
+    Repeated documents give repeated results; other columns are ignored,
+    whatever their names; an empty table on either side gives an empty one.
     """
-    out = None
-    for index in passes(benchmark):
+    blocks = blocks_of(benchmark)
 
-        def look(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True) for x in index.search(t)]
-                columns = list(zip(*rows, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "item_id", "first_word", "similarity"])
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in grouped(batches, len(blocks.items) > 1):
+            found = blocks.search(values(batch.column(1)), first_only=False)
+            rows = [(d, *x) for d, hits in zip(batch.column(0).to_pylist(), found, strict=True) for x in hits]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "item_id", "first_word", "similarity"])
 
-        found = docs.select("doc_id", "text").mapInArrow(look, "doc_id long, item_id long, first_word int, similarity double")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return docs.select("doc_id", "text").mapInArrow(look, "doc_id long, item_id long, first_word int, similarity double")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item; columns unchanged, nothing shuffled."""
-    at = docs.columns.index("text")
-    for index in passes(benchmark):
+    """``docs`` without the documents that hold an item; columns unchanged, whatever their names, nothing shuffled.
+
+    Null and empty texts hold nothing and stay; the rest as in ``contaminated``.
+    """
+    at, blocks = docs.columns.index("text"), blocks_of(benchmark)
 
-        def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not index.search(t) for t in values(batch.column(at))], pa.bool_()))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in grouped(batches, len(blocks.items) > 1):
+            yield batch.filter(pa.array([not hits for hits in blocks.search(values(batch.column(at)), first_only=True)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    return docs.mapInArrow(keep, docs.schema)
