@@ -6,6 +6,8 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,33 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: The folder under the application's one where tables are written now.
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
+
+def application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}{_scope.get()}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside are deleted at the end; what is to last must have been written elsewhere by then."""
+    token = _scope.set(f"{_scope.get()}/scratch-{uuid.uuid4().hex}")
+    path = f"{application_dir(spark)}{_scope.get()}"
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        delete(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,8 +77,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def clean(spark: SparkSession) -> None:
     """Delete the tables that this application has written; results must have been consumed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, application_dir(spark))
 
 
 def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -22,6 +22,7 @@ import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import BinaryIO
 
@@ -223,11 +224,33 @@ def pack(records: list[tuple[int | None, bytes]]) -> bytes:
     return out.getvalue()
 
 
-def open_package(uri: str) -> Package:
+#: Spark's names for stores -> those of the Python side.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def store_uri(uri: str) -> str:
+    """A URI as Spark names it, as pyarrow does: other schemes, three slashes for local files; a plain path is a local file."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return f"file://{uri}"
+    if scheme == "file":
+        return f"file:///{rest.lstrip('/')}"
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}"
+
+
+def store_of(uri: str):
+    """(file system, path) of a URI."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
-    return Package(store.open_input_file(path), store.get_file_info(path).size)
+    return fs.FileSystem.from_uri(store_uri(uri))
+
+
+@contextmanager
+def open_package(uri: str) -> Iterator[Package]:
+    """A package of the store, closed afterwards."""
+    store, path = store_of(uri)
+    with store.open_input_file(path) as file:
+        yield Package(file, file.size())
 
 
 def records(package: Package) -> Iterator[Record]:
@@ -243,11 +266,16 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     narrow = materialize(pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")), "payloads")
     several = narrow.filter(F.col("n") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     several = materialize(several.select("digest", "first"), "repeated_payloads")
-    # only (digest, first page) of repeated payloads meets the pages; they are broadcast while they are few, so that no page is shuffled
-    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several.hint("merge")
-    joined = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest")).join(several, "digest", "left")
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
+    refers = F.when(other, F.col("first")).alias("refers_to")
+    if several.count() <= BROADCAST_ROWS:  # only (digest, first page) of repeated payloads meets the pages, so that no page is shuffled
+        return rows.join(F.broadcast(several), "digest", "left").select("page_id", "url", "payload", "digest", refers)
+    # narrow rows meet on the digest, which may be hot; pages then on their own id and digest
+    revisits = narrow.join(several.hint("merge"), "digest").filter(other).select("page_id", "digest", refers).distinct()
+    revisits = materialize(revisits, "revisits").select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "refers_to")
+    met = rows.join(revisits.hint("merge"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
+    return met.select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -256,13 +284,14 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     One record a row: equal payloads of 100 bytes or more are stored with the
     smallest page_id, the others refer to it. Null html is an empty payload,
     a null url an empty one. Rows that share a page_id and payload are one
-    page, each a response.
+    page, each a response. A null page_id is never the smallest one unless all
+    of a payload's are null, and then each is a response. Very long payloads are
+    one record each, whole, so a package may exceed PACKAGE_BYTES. Other
+    columns are ignored, whatever their names; an empty table writes no package.
     """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = store_of(folder)
         store.create_dir(base, recursive=True)
 
         def save(held: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
@@ -299,12 +328,13 @@ def read(packages: DataFrame) -> DataFrame:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 held, size = [], 0
-                for r in records(open_package(uri)):
-                    held.append(r)
-                    size += len(r.payload)
-                    if size >= 4 << 20:
-                        yield batch_of(held)
-                        held, size = [], 0
+                with open_package(uri) as package:
+                    for r in records(package):
+                        held.append(r)
+                        size += len(r.payload)
+                        if size >= 4 << 20:
+                            yield batch_of(held)
+                            held, size = [], 0
                 if held:
                     yield batch_of(held)
 
@@ -314,6 +344,10 @@ def read(packages: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """What the archives of all ``pages`` say: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """What the archives of all ``pages`` say: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Nulls, empty and very long payloads, ties and repeated rows are as in
+    ``write``; an empty table gives an empty one.
+    """
     packages = write(pages, shared_path(pages.sparkSession, "warc"))
     return read(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

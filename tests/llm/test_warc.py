@@ -5,6 +5,7 @@ import zipfile
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from terraspan.llm import warc
 from terraspan.llm.common import shared_path
@@ -46,6 +47,25 @@ def test_shuffled_join_answers_the_same(spark, monkeypatch):
     assert Counter(map(tuple, warc.round_trip(pages).collect())) == truth()
 
 
+def test_null_ids_and_names_that_clash(spark, monkeypatch):
+    data = [(None, "u", LONG, 1), (4, "u", LONG, 2), (None, "v", "z" * 120, 3), (None, "v", "z" * 120, 4), (5, None, "z", 5)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, first int").withColumns({"n": F.lit(1), "of": F.lit("x"), "payload": F.lit("y")})
+    want = Counter({(None, 200, "revisit", 4): 1, (4, 200, "response", None): 1, (None, 120, "response", None): 2, (5, 1, "response", None): 1})
+    for bound in (500_000, 0):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", bound)
+        assert Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()) == want
+
+
+def test_names_of_stores(tmp_path):
+    names = {"s3a://b/k": "s3://b/k", "s3://b/k": "s3://b/k", "hdfs://n:9000/x": "hdfs://n:9000/x", "file:/a/b": "file:///a/b", "file:///a/b": "file:///a/b", "/a/b": "file:///a/b", "gs://b": "gs://b"}
+    assert {k: warc.store_uri(k) for k in names} == names
+    (tmp_path / "p.zip").write_bytes(warc.pack([]))
+    for uri in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        with warc.open_package(f"{uri}/p.zip") as package:
+            assert list(warc.records(package)) == []
+    assert package.file.closed
+
+
 def test_zip64_structures_are_read(monkeypatch):
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 50)
     monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
