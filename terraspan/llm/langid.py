@@ -36,6 +36,8 @@ PIECE = 1 << 20
 BANDS = 2 * 13 + 1
 #: The quantile of a band's training cosines, and the texts that a band needs for it: one odd text doesn't set it.
 LOW, BAND_TEXTS = 0.05, 20
+#: Share of a language's texts that a centroid stands for at least.
+LEAST_SHARE = 0.02
 
 
 def counts(text: bytes) -> np.ndarray:
@@ -73,18 +75,20 @@ def low_quantiles(near: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return np.array([np.quantile(own, LOW) if len(own := near[band == b]) >= BAND_TEXTS else np.nan for b in range(BANDS)])
 
 
-def bound_curve(own: np.ndarray, pooled: np.ndarray, fallback: float, slack: float) -> np.ndarray:
+def bound_curve(own: np.ndarray, pooled: np.ndarray, fallback: tuple[int, float], slack: float) -> np.ndarray:
     """The least cosine at the middle of each half-octave: of the language's own texts, else of all languages'.
 
     Between known bands it follows straight lines; below the first one it falls
-    in proportion to the logarithm of the cells, above the last it stays. With no
-    band known, ``fallback`` stands for the last.
+    with the square root of the cells, as the cosine of a part of a text with the
+    whole does; above the last it stays. ``fallback`` is a band and its
+    quantile for samples in which no band is known.
     """
     low = np.where(np.isnan(own), pooled, own)
     known = np.flatnonzero(~np.isnan(low))
     if not len(known):
-        known, low = np.array([BANDS - 1]), np.full(BANDS, fallback)
-    return slack * np.interp(np.arange(BANDS) + 0.5, np.concatenate([[0.0], known + 0.5]), np.concatenate([[0.0], low[known]]))
+        known, low = np.array([fallback[0]]), np.full(BANDS, fallback[1])
+    at = np.arange(BANDS)
+    return slack * np.interp(at, known, low[known]) * np.minimum(1.0, 2.0 ** ((at - known[0]) / 4))
 
 
 @dataclass(frozen=True)
@@ -116,7 +120,11 @@ class Model:
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means: rows of length 1, started at rows far from one another."""
+    """Spherical k-means: rows of length 1, started at rows far from one another.
+
+    Clusters of less than LEAST_SHARE of the rows, or of a single one, are odd
+    texts rather than a kind of the language and get no centroid, unless all are such.
+    """
     centres = [x.mean(axis=0)]
     for _ in range(1, min(k, len(x))):
         centres.append(x[int(np.argmin(np.max(x @ np.array(centres).T, axis=1)))])
@@ -125,7 +133,9 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         nearest = np.argmax(x @ c.T, axis=1)
         c = np.array([x[nearest == j].mean(axis=0) if (nearest == j).any() else c[j] for j in range(len(c))])
-    return (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    large = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c)) >= max(2, LEAST_SHARE * len(x))
+    return (c[large] if large.any() else c).astype(np.float32)
 
 
 def sample_rows(docs: DataFrame, sample_per_language: int, sample_texts: int, max_languages: int) -> DataFrame:
@@ -187,7 +197,8 @@ def fit(docs: DataFrame, *, sample_per_language: int = 1500, sample_texts: int =
     if not langs:
         return Model([], np.zeros(0, np.int64), np.zeros((0, CELLS), np.float32), np.zeros((0, BANDS)), idf)
     every = np.concatenate(near)
-    pooled, fallback = low_quantiles(every, np.concatenate(cells)), float(np.quantile(every, LOW))
+    sizes = np.concatenate(cells)
+    pooled, fallback = low_quantiles(every, sizes), (int(band_of(np.median(sizes))), float(np.quantile(every, LOW)))
     least = np.array([bound_curve(low_quantiles(n, c), pooled, fallback, slack) for n, c in zip(near, cells, strict=True)])
     return Model(langs, np.array(owner, np.int64), np.concatenate(out), least, idf)
 

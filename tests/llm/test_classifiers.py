@@ -154,10 +154,20 @@ def test_gibberish_and_unlearned_languages_are_rejected_and_clean_texts_kept(spa
 def test_one_odd_training_text_does_not_set_the_bound():
     near, cells = np.linspace(0.7, 0.9, 100), np.full(100, 1000)
     none = np.full(langid.BANDS, np.nan)
-    curve = lambda near, cells: langid.bound_curve(langid.low_quantiles(near, cells), none, 0.1, 0.6)
+    curve = lambda near, cells: langid.bound_curve(langid.low_quantiles(near, cells), none, (20, 0.1), 0.6)
     odd = curve(np.append(near, 0.05), np.append(cells, 1000))
     assert np.allclose(odd, curve(near, cells), atol=0.01) and (np.diff(odd) >= 0).all() and abs(odd[-1] - 0.6 * 0.71) < 0.01
-    assert np.isclose(curve(near[:5], cells[:5])[-1], 0.06)  # too few texts for any band
+    assert np.isclose(curve(near[:5], cells[:5])[[16, 20, 26]], [0.03, 0.06, 0.06]).all()  # too few texts for any band; a quarter of the cells, half the bound
+
+
+def test_an_odd_training_text_gets_no_centroid():
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(1, 0.2, (200, 30))) * np.repeat([[1.0] * 15 + [0.2] * 15, [0.2] * 15 + [1.0] * 15], 100, axis=0)
+    odd = np.zeros((1, 30))
+    odd[0, 3] = 1
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    c = langid.cluster(unit(np.concatenate([x, odd])), 4)
+    assert 2 <= len(c) <= 4 and (unit(odd) @ c.T).max() < 0.6 and len(langid.cluster(unit(odd), 4)) == 1
 
 
 def slow_statistics(text):
