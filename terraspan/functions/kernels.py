@@ -138,30 +138,38 @@ def inside_ring(x: np.ndarray, y: np.ndarray, rings: list[np.ndarray]) -> np.nda
     return odd
 
 
-def clip_path(path: np.ndarray, rings: list[np.ndarray]) -> list[np.ndarray]:
-    """The parts of a polyline inside the rings, cut at the crossings."""
-    a, b = path[:-1], path[1:]
-    cuts: list[list[float]] = [[0.0, 1.0] for _ in range(len(a))]
-    d = b - a
+def ranges_inside(path: np.ndarray, rings: list[np.ndarray]) -> list[tuple[float, float]]:
+    """The stretches of a polyline inside the rings, as fractional vertex numbers: 2.25 is a quarter of the way from vertex 2 to 3."""
+    a, d = path[:-1], np.diff(path, axis=0)
+    marks = [np.arange(len(path), dtype=np.float64)]
     for ring in rings:
         for p, q in zip(ring, np.roll(ring, -1, axis=0), strict=True):
             e = q - p
-            den = d[:, 0] * e[1] - d[:, 1] * e[0]
+            turn = d[:, 0] * e[1] - d[:, 1] * e[0]
             with np.errstate(divide="ignore", invalid="ignore"):
-                t = ((p[0] - a[:, 0]) * e[1] - (p[1] - a[:, 1]) * e[0]) / den
-                s = ((p[0] - a[:, 0]) * d[:, 1] - (p[1] - a[:, 1]) * d[:, 0]) / den
-            for i in np.flatnonzero((den != 0) & (t > 0) & (t < 1) & (s >= 0) & (s <= 1)):
-                cuts[i].append(float(t[i]))
-    starts = np.concatenate([np.full(len(c) - 1, i) for i, c in enumerate(cuts)])
-    marks = [sorted(c) for c in cuts]
-    t0, t1 = (np.concatenate([m[o : len(m) - 1 + o] for m in marks]) for o in (0, 1))
-    mid = a[starts] + ((t0 + t1) / 2)[:, None] * d[starts]
-    keep = inside_ring(mid[:, 0], mid[:, 1], rings)
-    out = []
-    for s, e in spans(keep):
-        points = [a[starts[i]] + t0[i] * d[starts[i]] for i in range(s, e)] + [a[starts[e - 1]] + t1[e - 1] * d[starts[e - 1]]]
-        out.append(np.array(points))
-    return out
+                t = ((p[0] - a[:, 0]) * e[1] - (p[1] - a[:, 1]) * e[0]) / turn
+                s = ((p[0] - a[:, 0]) * d[:, 1] - (p[1] - a[:, 1]) * d[:, 0]) / turn
+            at = np.flatnonzero((turn != 0) & (t > 0) & (t < 1) & (s >= 0) & (s <= 1))
+            marks.append(at + t[at])
+    cuts = np.unique(np.concatenate(marks))
+    middle = along(path, (cuts[:-1] + cuts[1:]) / 2)
+    return [(float(cuts[s]), float(cuts[e])) for s, e in spans(inside_ring(middle[:, 0], middle[:, 1], rings))]
+
+
+def along(path: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Points at fractional vertex numbers."""
+    i = np.clip(np.floor(at).astype(np.int64), 0, len(path) - 2)
+    return path[i] + (at - i)[:, None] * (path[i + 1] - path[i])
+
+
+def part(path: np.ndarray, start: float, end: float) -> np.ndarray:
+    """The stretch of a polyline between two fractional vertex numbers."""
+    return along(path, np.concatenate([[start], np.arange(np.floor(start) + 1, np.ceil(end)), [end]]))
+
+
+def clip_path(path: np.ndarray, rings: list[np.ndarray]) -> list[np.ndarray]:
+    """The parts of a polyline inside the rings, cut at the crossings."""
+    return [part(path, s, e) for s, e in ranges_inside(path, rings)]
 
 
 def path_length(path: np.ndarray) -> float:

@@ -13,76 +13,120 @@ def box(x1, y1, x2, y2):
     return np.array([(x1, y1), (x2, y1), (x2, y2), (x1, y2)], float)
 
 
-def scene(gap=True, nodata=False):
-    rgb = np.full((3, 160, 320), 100.0)
-    for y in range(20, 141, 20):
-        rgb[:, y - 2 : y + 3, :] = np.array([65, 180, 55.0])[:, None, None]
-    if gap:
-        rgb[:, 58:63, 120:160] = 100
-    if nodata:
-        rgb[:, 58:63, 120:160] = 0
-    valid = rgb.any(axis=0)
-    total = np.where(valid, rgb.sum(axis=0), 1)
-    exg = np.where(valid, (2 * rgb[1] - rgb[0] - rgb[2]) / total, 0)
-    yy, xx = np.mgrid[0:160, 0:320] + 0.5
-    ring = box(500_000.1, 8_199_992.1, 500_015.9, 8_199_999.9)
-    return exg, valid & k.inside_ring(T.a * xx + T.c, T.e * yy + T.f, [ring]), [ring]
+def striped(shape, degrees, spacing, thick=3, level=0.35):
+    """A signal with lines of a direction through the middle, and the distance of each pixel to its line's centre and its place along it."""
+    h, w = shape
+    yy, xx = np.indices(shape) + 0.5
+    a = np.deg2rad(degrees)
+    along = np.cos(a) * (xx - w / 2) + np.sin(a) * (yy - h / 2)
+    across = np.cos(a) * (yy - h / 2) - np.sin(a) * (xx - w / 2)
+    off = across - np.rint(across / spacing) * spacing
+    return np.where(np.abs(off) <= thick, level, 0.0), np.rint(across / spacing), along
+
+
+def frame_of(shape, inset=0.3):
+    return [box(T.c + inset, T.f + T.e * shape[0] + inset, T.c + T.a * shape[1] - inset, T.f - inset)]
 
 
 def options(**more):
-    return rows.RowOptions(**({"resolution_m": 0.05, "spacing_m": 1.0} | more))
+    return rows.RowOptions(**({"resolution_m": 0.05, "spacing_m": 1.2, "min_row_m": 4.0} | more))
+
+
+def degrees_of(row):
+    d = row[-1] - row[0]
+    return np.rad2deg(np.arctan2(-d[1], d[0])) % 180  # rows of the raster run downwards
 
 
-def test_known_rows_and_gap():
-    found = rows.trace(*scene()[:2], T, scene()[2], options())
+@pytest.mark.parametrize("degrees", [0, 11, 52, 90, 143])
+def test_lines_of_any_direction_and_a_hole_in_one(degrees):
+    shape = (300, 420)
+    signal, number, along = striped(shape, degrees, 24)
+    signal[(number == 1) & (along > -30) & (along < 25)] = 0  # 2.75 m without plants on one line
+    found = rows.trace(signal, np.ones(shape, bool), T, frame_of(shape), options())
+    assert len({sector for sector, _, _ in found}) == 1 and len(found) >= 9
+    long = [r for _, r, _ in found if k.path_length(r) > 8]
+    assert len(long) >= 6 and all(min(abs(degrees_of(r) - degrees), 180 - abs(degrees_of(r) - degrees)) < 2.5 for r in long)
     gaps = [g for _, _, gs in found for g in gs]
-    assert 6 <= len(found) <= 8 and len(gaps) == 1 and 1.4 <= k.path_length(gaps[0]) <= 2.2
-    ring = scene()[2][0]
-    for _, row, _ in found:
-        assert row[:, 0].min() >= ring[:, 0].min() - 1e-6 and row[:, 0].max() <= ring[:, 0].max() + 1e-6
-
-
-def test_no_gap_from_nodata_or_below_the_least_length():
-    signal, valid, rings = scene(gap=False, nodata=True)
-    found = rows.trace(signal, valid, T, rings, options(min_row_m=3))
-    assert found and not [g for _, _, gs in found for g in gs]
-    signal, valid, rings = scene()
-    assert not [g for _, _, gs in rows.trace(signal, valid, T, rings, options(min_gap_m=3)) for g in gs]
-    assert rows.trace(np.zeros_like(signal), valid, T, rings, options()) == []
-
-
-def test_two_directions():
-    yy, xx = np.indices((240, 640))
-    signal = np.zeros((240, 640))
-    for y in range(20, 221, 20):
-        signal[(np.abs(yy - y) <= 2) & (xx < 390)] = 0.4
-    for x in range(420, 621, 20):
-        signal[np.abs(xx - x) <= 2] = 0.4
-    found = rows.trace(signal, np.ones_like(signal, bool), T, [box(500_000, 8_199_988, 500_032, 8_200_000)], options())
-    wide = [r for _, r, _ in found if np.ptp(r[:, 0]) > 10]
-    high = [r for _, r, _ in found if np.ptp(r[:, 1]) > 8]
-    assert len({s for s, _, _ in found}) == 2 and len(wide) >= 9 and len(high) >= 9 and not [g for _, _, gs in found for g in gs]
-
-
-def test_oblique_rows():
-    yy, xx = np.mgrid[0:330, 0:380].astype(float)
-    a = np.deg2rad(27)
-    u = np.cos(a) * (xx - 190) - np.sin(a) * (yy - 165) + 160
-    v = np.sin(a) * (xx - 190) + np.cos(a) * (yy - 165) + 100
-    valid = (u >= 0) & (u < 320) & (v >= 0) & (v < 200)
-    near = np.abs(v - np.round(v / 20) * 20)
-    signal = np.where(valid & (near <= 2.5) & (np.round(v / 20) >= 1) & (np.round(v / 20) <= 9), 0.4, 0.0)
-    found = rows.trace(signal, valid, T, [box(500_000, 8_200_000 - 330 * 0.05, 500_000 + 380 * 0.05, 8_200_000)], options())
-    assert 8 <= len(found) <= 10
+    assert len(gaps) == 1 and 2.2 < k.path_length(gaps[0]) < 3.2
+    centre = gaps[0].mean(axis=0)
+    a = np.deg2rad(degrees)
+    want = np.array([210 + np.cos(a) * -2.5 - np.sin(a) * 24, 150 + np.sin(a) * -2.5 + np.cos(a) * 24])
+    assert np.hypot(*(centre - (T.c + T.a * want[0], T.f + T.e * want[1]))) < 0.5
+    (ring,) = frame_of(shape)
     for _, r, _ in found:
-        assert abs(np.rad2deg(np.arctan2(*(r[-1] - r[0])[::-1])) % 180 - 27) < 3
+        assert (r >= ring.min(axis=0) - 1e-6).all() and (r <= ring.max(axis=0) + 1e-6).all()
+
+
+def test_a_band_without_data_is_no_gap():
+    """All lines are cut by a band of columns without data, or by one whose pixels are there but bare."""
+    shape = (240, 480)
+    signal, _, _ = striped(shape, 0, 24)
+    band = (np.indices(shape)[1] >= 200) & (np.indices(shape)[1] < 250)
+    hidden = rows.trace(np.where(band, 0, signal), ~band, T, frame_of(shape), options())
+    assert len(hidden) >= 14 and not [g for _, _, gs in hidden for g in gs]
+    assert all(r[:, 0].max() <= T.c + 200 * T.a + 0.1 or r[:, 0].min() >= T.c + 250 * T.a - 0.1 for _, r, _ in hidden)
+    bare = rows.trace(np.where(band, 0, signal), np.ones(shape, bool), T, frame_of(shape), options())
+    assert len([g for _, _, gs in bare for g in gs]) == len(bare) >= 8
+
+
+def test_shorter_gaps_and_rows_than_asked_for_do_not_count():
+    shape = (240, 420)
+    signal, number, along = striped(shape, 0, 24)
+    signal[(number == 0) & (np.abs(along) < 30)] = 0
+    whole = np.ones(shape, bool)
+    count = lambda **more: sum(len(g) for _, _, g in rows.trace(signal, whole, T, frame_of(shape), options(**more)))
+    assert count() == 1 and count(min_gap_m=4.0) == 0
+    assert rows.trace(signal, whole, T, frame_of(shape), options(min_row_m=25.0)) == []
+    assert rows.trace(np.zeros(shape), whole, T, frame_of(shape), options()) == []
+    assert rows.trace(signal, ~whole, T, frame_of(shape), options()) == []
+
+
+def test_fields_of_different_directions():
+    shape = (420, 700)
+    left, _, _ = striped(shape, 25, 24)
+    right, _, _ = striped(shape, 110, 24)
+    where = np.indices(shape)[1]
+    signal = np.where(where < 330, left, np.where(where >= 370, right, 0))
+    found = rows.trace(signal, np.ones(shape, bool), T, frame_of(shape), options())
+    for degrees, side in ((25, lambda r: r[:, 0].mean() < T.c + 350 * T.a), (110, lambda r: r[:, 0].mean() > T.c + 350 * T.a)):
+        own = [r for _, r, _ in found if abs(degrees_of(r) - degrees) < 5 and k.path_length(r) > 6]
+        assert len(own) >= 8 and all(map(side, own))
+    assert len({s for s, _, _ in found}) == 2
+
+
+def test_a_gap_across_a_notch_belongs_to_each_part_for_its_own_stretch():
+    """A parcel with a notch cuts rows in two; the bare stretch reaches from one part over the notch into the other."""
+    shape = (260, 500)
+    signal, _, along = striped(shape, 0, 24)
+    signal[np.abs(along) < 60] = 0
+    (outer,) = frame_of(shape)
+    (x1, y1), (x2, y2) = outer.min(axis=0), outer.max(axis=0)
+    m = T.c + 250 * T.a
+    notched = np.array([(x1, y1), (m - 1, y1), (m - 1, y2 - 1), (m + 1, y2 - 1), (m + 1, y1), (x2, y1), (x2, y2), (x1, y2)])
+    found = rows.trace(signal, np.ones(shape, bool), T, [notched], options())
+    gaps = [tuple(np.round(np.concatenate([g[0], g[-1]]), 3)) for _, _, gs in found for g in gs]
+    assert len(gaps) == len(set(gaps)) >= 12
+    for _, r, gs in found:
+        for g in gs:
+            assert r[:, 0].min() - 1e-6 <= g[:, 0].min() and g[:, 0].max() <= r[:, 0].max() + 1e-6
+            assert 1.5 < k.path_length(g) < 2.8 or k.path_length(r) > 20
+
+
+def test_stretches_inside_rings():
+    path = np.array([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)])
+    ring = [np.array([(1.0, -1.0), (3.0, -1.0), (3.0, 1.0), (1.0, 1.0)]), np.array([(3.0, 2.0), (5.0, 2.0), (5.0, 5.0), (3.0, 5.0)])]
+    assert k.ranges_inside(path, ring) == [(0.25, 0.75), (1.5, 2.0)]
+    assert [p.tolist() for p in k.clip_path(path, ring)] == [[[1, 0], [3, 0]], [[4, 2], [4, 4]]]
+    assert k.part(path, 0.5, 1.25).tolist() == [[2, 0], [4, 0], [4, 1]]
 
 
 def test_rows_and_gaps_as_tables(spark):
-    signal, valid, rings = scene()
-    rows_ = [(name, piece, 160, 320, signal.astype(np.float32).tobytes(), valid.astype(np.uint8).tobytes(), [T.a, T.b, T.c, T.d, T.e, T.f], [[(float(x), float(y)) for x, y in r] for r in rings]) for name, piece in (("1", 0), ("1", 1), ("2", 0))]
-    pieces = spark.createDataFrame(rows_, f"parcela_id string, piece long, h int, w int, signal binary, valid binary, transform array<double>, rings array<{LINE}>")
-    found, gaps = rows.trace_pieces(pieces, rows.RowOptions(spacing_m=1.0))
+    shape = (240, 420)
+    signal, number, along = striped(shape, 0, 24)
+    signal[(number == 1) & (np.abs(along) < 25)] = 0
+    shared = (*shape, signal.astype(np.float32).tobytes(), np.ones(shape, np.uint8).tobytes(), [T.a, T.b, T.c, T.d, T.e, T.f], [[(float(x), float(y)) for x, y in r] for r in frame_of(shape)])
+    pieces = spark.createDataFrame([("1", 0, *shared), ("1", 1, *shared), ("2", 0, *shared)], f"parcela_id string, piece long, h int, w int, signal binary, valid binary, transform array<double>, rings array<{LINE}>")
+    found, gaps = rows.trace_pieces(pieces, rows.RowOptions(spacing_m=1.2))
     ids = sorted(r["surco_id"] for r in found.filter("parcela_id = '1'").collect())
     assert ids == list(range(1, len(ids) + 1)) and gaps.count() == 3
     assert gaps.join(found, ["parcela_id", "surco_id"], "left_semi").count() == 3
