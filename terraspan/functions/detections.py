@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .affine import Affine, pixel_to_coords
@@ -51,6 +51,43 @@ def is_crop_name(name: Column) -> Column:
     return F.lower(name).isin(*CROP_LABELS)
 
 
+def weed_split(detections: DataFrame, name: str = "class") -> tuple[Column, bool]:
+    """(whether a row is a weed, whether there are crops), decided by all names of the data set.
+
+    Where any row has a weed's name, those rows are weeds and any other row is
+    crop. Otherwise the rows that have no crop's name are weeds, and there are
+    crops where both kinds occur. One row of flags reaches the driver.
+    """
+    weed, crop = is_weed_name(F.col(name)), is_crop_name(F.col(name))
+    flag = lambda c: F.coalesce(F.max(F.coalesce(c, F.lit(False))), F.lit(False))
+    seen = detections.agg(flag(weed).alias("weed"), flag(~weed).alias("other"), flag(crop).alias("crop"), flag(~crop).alias("rest")).first()
+    if seen["weed"]:
+        return F.coalesce(weed, F.lit(False)), bool(seen["other"])
+    return ~F.coalesce(crop, F.lit(False)), bool(seen["crop"] and seen["rest"])
+
+
+def weed_coverage(weeds: Column, crops: Column, area: Column, has_crop: bool) -> Column:
+    """Weeds among all plants where there are crops, else weeds a square metre; null without plants or area."""
+    return F.try_divide(weeds, weeds + crops) if has_crop else F.try_divide(weeds, area)
+
+
+def as_points(found: DataFrame) -> DataFrame:
+    """Georeferenced detections as points: class_id, class_name, confidence, x, y; rows without a place are an error."""
+    place = F.when(F.col("x").isNull() | F.col("y").isNull(), F.raise_error(F.lit("a detection has no place"))).otherwise(F.col("x"))
+    return found.select("class_id", "class_name", "confidence", place.cast("double").alias("x"), "y")
+
+
+def as_boxes(found: DataFrame) -> DataFrame:
+    """The same as polygons: class_id, class_name, confidence and the ring of bbox_geo."""
+    ring = F.when(F.col("bbox_geo").isNull(), F.raise_error(F.lit("a detection has no box"))).otherwise(F.col("bbox_geo"))
+    return found.select("class_id", "class_name", "confidence", ring.cast("array<struct<x:double,y:double>>").alias("ring"))
+
+
+def is_between_rows(distance: Column, coverage: Column) -> Column:
+    """Whether a place lies between rows: 0.18 to 0.30 from the nearest one, with less than 60 % plants around (fixed values)."""
+    return distance.between(0.18, 0.30) & (coverage < 0.60)
+
+
 def looks_unsown(name: Column) -> Column:
     lower = F.lower(name)
     out = F.lit(False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraspan.functions import geometry as g
 from terraspan.functions import indices
 
 from .spatial import points_within
@@ -63,12 +64,14 @@ def valid_tiles(pixels: DataFrame, size: int, nodata: float, least: float = 0.5,
     return tiles.agg(F.avg(F.when(F.col(band) != nodata, 1.0).otherwise(0.0)).alias("valid_fraction")).filter(F.col("valid_fraction") >= least)
 
 
-def to_uint8(pixels: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Values stretched between the 2nd and 98th percentile of their group to 0..255, truncated; a flat group gives 0."""
-    limits = pixels.groupBy(*key).agg(F.percentile(value, F.array(F.lit(0.02), F.lit(0.98))).alias("_p"))
+def to_uint8(pixels: DataFrame, key: list[str], bands: list[str]) -> DataFrame:
+    """Each band stretched to 0..255 as {band}_u8, truncated, between the 2nd and 98th percentile of all finite values of all bands of the group; a flat group gives 0."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    every = pixels.select(*key, F.explode(F.array(*[F.col(b).cast("double") for b in bands])).alias("_v")).filter(finite(F.col("_v")))
+    limits = every.groupBy(*key).agg(F.percentile("_v", F.array(F.lit(0.02), F.lit(0.98))).alias("_p"))
     low, high = F.col("_p")[0], F.col("_p")[1]
-    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(value) - low, high - low))) * 255
-    return pixels.join(limits, key).withColumn("u8", F.coalesce(F.floor(scaled), F.lit(0)).cast("int")).drop("_p")
+    scaled = lambda b: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(b) - low, high - low))) * 255
+    return pixels.join(limits, key).withColumns({f"{b}_u8": F.coalesce(F.floor(scaled(b)), F.lit(0)).cast("int") for b in bands}).drop("_p")
 
 
 def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
@@ -81,3 +84,22 @@ def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
     ranked = counts.withColumn("rank", F.coalesce(below, F.lit(0.0)) + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
+
+
+def valid_mask(pixels: DataFrame, bands: list[str], nodata: float | None, alpha: str | None, parcels: DataFrame, cell: float) -> DataFrame:
+    """Pixels (x, y, bands) that count: NoData in no band, finite, alpha above 0 where there is one, and strictly inside a parcel (name, ring)."""
+    good = F.lit(True)
+    for b in bands:
+        good = good & F.col(b).isNotNull() & ~F.isnan(F.col(b).cast("double")) & (F.abs(F.col(b).cast("double")) != F.lit(float("inf")))
+        good = good if nodata is None else good & (F.col(b) != nodata)
+    good = good if alpha is None else good & (F.col(alpha) > 0)
+    return points_within(pixels.filter(good), parcels.select("name", "ring"), cell).drop("ring")
+
+
+POLYGONS = ("Polygon", "MultiPolygon")
+
+
+def parcel_problems(layer: DataFrame) -> DataFrame:
+    """(name, problem): what forbids an analysis of each parcel (name, kind, srid, ring): no reference system, a kind other than polygons, no geometry, a ring that crosses itself; null if nothing does."""
+    problem = F.when(F.col("srid").isNull(), "sin CRS").when(F.col("ring").isNull() | (F.size("ring") == 0), "vacía")
+    return layer.select("name", problem.when(~F.col("kind").isin(*POLYGONS), "no es un polígono").when(~g.is_simple(F.col("ring")), "no válida").alias("problem"))

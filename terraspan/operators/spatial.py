@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraspan.functions import geometry as g
+from terraspan.functions import kernels as k
 
 
 class CrsMismatchError(ValueError):
@@ -86,3 +92,71 @@ def split_by_area(polygons: DataFrame, max_area: float) -> DataFrame:
         "id", label.alias("piece"), (F.col("x1") + F.col("ix") * dw).alias("px1"), (F.col("y1") + F.col("iy") * dh).alias("py1"),
         (F.col("x1") + (F.col("ix") + 1) * dw).alias("px2"), (F.col("y1") + (F.col("iy") + 1) * dh).alias("py2"),
     )
+
+
+def covered_area(labels: DataFrame, boxes: DataFrame, key: str, cell: float) -> DataFrame:
+    """(key, covered): the area of each label (rx1, ry1, rx2, ry2) that lies in the union of ``boxes`` (x1, y1, x2, y2); labels without any have no row.
+
+    Shared pieces are cut at the borders of grid cells, so that a task sees one
+    label's pieces of one cell at a time; their areas add up.
+    """
+    own = _cells(labels.select(key, "rx1", "ry1", "rx2", "ry2"), tuple(F.col(c) for c in ("rx1", "ry1", "rx2", "ry2")), cell)
+    others = _cells(boxes.select("x1", "y1", "x2", "y2").distinct(), tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), cell)
+    west, south = F.col("_cx") * cell, F.col("_cy") * cell
+    pieces = own.join(others, ["_cx", "_cy"]).select(
+        key, "_cx", "_cy", F.greatest("rx1", "x1", west).alias("x1"), F.greatest("ry1", "y1", south).alias("y1"), F.least("rx2", "x2", west + cell).alias("x2"), F.least("ry2", "y2", south + cell).alias("y2")
+    )
+    met = pieces.filter("x1 < x2 and y1 < y2").groupBy(key, "_cx", "_cy").agg(*[F.collect_list(F.col(c).cast("double")).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({key: frame[key], "covered": [union_of_boxes(*(np.array(v) for v in r)) for r in zip(frame["x1"], frame["y1"], frame["x2"], frame["y2"], strict=True)]})
+
+    kind = labels.schema[key].dataType.simpleString()
+    return met.mapInPandas(run, f"`{key}` {kind}, covered double").groupBy(key).agg(F.sum("covered").alias("covered"))
+
+
+def union_of_boxes(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> float:
+    """Area that some box covers: boxes marked on the grid of all their borders."""
+    xs, ys = np.unique(np.concatenate([x1, x2])), np.unique(np.concatenate([y1, y2]))
+    marks = np.zeros((len(xs) + 1, len(ys) + 1), np.int64)
+    a, b, c, d = np.searchsorted(xs, x1), np.searchsorted(xs, x2), np.searchsorted(ys, y1), np.searchsorted(ys, y2)
+    for i, j, sign in ((a, c, 1), (b, c, -1), (a, d, -1), (b, d, 1)):
+        np.add.at(marks, (i, j), sign)
+    covered = marks.cumsum(axis=0).cumsum(axis=1)[: len(xs) - 1, : len(ys) - 1] > 0
+    return float(np.diff(xs) @ covered @ np.diff(ys))
+
+
+def nearest(points: DataFrame, others: DataFrame, key: str, limit: float) -> DataFrame:
+    """``points`` (key, x, y and more) with ``distance`` to the nearest of ``others`` (ox, oy) less than ``limit`` away; null where there is none."""
+    found = near(points.select(key, "x", "y"), others.select("ox", "oy"), limit).groupBy(F.col(key).alias("_k")).agg(F.min("distance").alias("distance"))
+    return points.join(found, F.col(key) == F.col("_k"), "left").drop("_k")
+
+
+def rasterised(polygons: DataFrame, key: str, size: float) -> DataFrame:
+    """(key, row, col) of the pixels of a grid whose centres lie strictly inside a polygon (ring); row and col count up with y and x."""
+    low, high = (lambda v: F.floor(v / size - 0.5).cast("long")), (lambda v: F.ceil(v / size - 0.5).cast("long"))
+    x1, y1, x2, y2 = g.bounds(F.col("ring"))
+    cells = polygons.select(key, "ring", F.sequence(low(x1), high(x2)).alias("_cols"), F.explode(F.sequence(low(y1), high(y2))).alias("row")).withColumn("col", F.explode("_cols"))
+    return cells.filter(g.within((F.col("col") + 0.5) * size, (F.col("row") + 0.5) * size, F.col("ring"))).select(key, "row", "col")
+
+
+def lines_within(lines: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """A row for each part of a line (path: array of x, y) inside a polygon (ring), with both sides' columns, the part's ``path`` and ``length``."""
+    box = lambda c: F.struct(*[v.alias(n) for v, n in zip(g.bounds(F.col(c)), ("x1", "y1", "x2", "y2"), strict=True)])
+    corners = lambda c: tuple(F.col(f"{c}.{n}") for n in ("x1", "y1", "x2", "y2"))
+    a, b = _cells(lines.withColumn("_a", box("path")), corners("_a"), cell), _cells(polygons.withColumn("_b", box("ring")), corners("_b"), cell)
+    x, y = F.greatest("_a.x1", "_b.x1"), F.greatest("_a.y1", "_b.y1")
+    pairs = a.join(b, ["_cx", "_cy"]).filter((F.floor(x / cell) == F.col("_cx")) & (F.floor(y / cell) == F.col("_cy"))).drop("_cx", "_cy", "_a", "_b")
+    schema = T.StructType([*[f for f in pairs.schema.fields if f.name not in ("path", "length", "ring")], pairs.schema["path"], T.StructField("length", T.DoubleType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arrays = lambda points: np.array([(p["x"], p["y"]) for p in points], float)
+        for frame in frames:
+            rows = []
+            for row in frame.to_dict("records"):
+                for p in k.clip_path(arrays(row["path"]), [arrays(row["ring"])]):
+                    rows.append(row | {"path": [{"x": x, "y": y} for x, y in p.tolist()], "length": k.path_length(p)})
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return pairs.mapInPandas(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,37 +11,99 @@ from pyspark.sql import functions as F
 
 from terraspan.functions.kernels import gaussian
 
-# Widths in pixels of the texture, of the orientation and of the context; greenness that counts as plant.
-TEXTURE, ORIENTATION, CONTEXT, GREEN = (1, 3, 6), 5, (10, 20), 0.12
-#: Pixels around a tile that its features depend on, without and with context: four widths and the gradient's.
-HALO, CONTEXT_HALO = 4 * TEXTURE[-1] + 6, 4 * CONTEXT[-1] + 6
-BASE, EXTRA = 21, 10
-SCHEMA = "path string, row_off int, col_off int, h int, w int, features array<binary>"
+#: Planes that every feature is made of, from red, green and blue as parts of one.
+PLANES = {
+    "r": lambda r, g, b: r,
+    "g": lambda r, g, b: g,
+    "b": lambda r, g, b: b,
+    "r_share": lambda r, g, b: r / (r + g + b + 1e-6),
+    "b_share": lambda r, g, b: b / (r + g + b + 1e-6),
+    "greenness": lambda r, g, b: (2 * g - r - b) / (r + g + b + 1e-6),
+    "light": lambda r, g, b: (r + g + b + 1e-6) / 3,
+    "saturation": lambda r, g, b: 1 - np.minimum(np.minimum(r, g), b) / (np.maximum(np.maximum(r, g), b) + 1e-6),
+    "plant": lambda r, g, b: (PLANES["greenness"](r, g, b) > GREEN).astype(float),
+}
+
+#: Fixed value: greenness that counts as plant.
+GREEN = 0.12
+
+
+@dataclass(frozen=True)
+class Feature:
+    """``measure`` of a plane within ``width`` pixels: its value, mean, spread, contrast to the mean, or how far lines agree in direction."""
+
+    plane: str
+    measure: str = "value"
+    width: float = 0
+
+    @property
+    def name(self) -> str:
+        return f"{self.plane}_{self.measure}_{self.width:g}" if self.width else self.plane
+
+    def reach(self) -> int:
+        """Pixels around that it depends on: four widths, and those of the gradient."""
+        return int(4 * self.width) + (6 if self.measure == "alignment" else 1)
+
+    def of(self, planes: Planes) -> np.ndarray:
+        own = planes[self.plane]
+        if self.measure == "value":
+            return own
+        if self.measure == "alignment":
+            across, power = planes.lines(self.plane)
+            field = gaussian(across.real, self.width) + 1j * gaussian(across.imag, self.width)
+            return np.abs(field) / (gaussian(power, self.width) + 1e-6)
+        mean = planes.mean(self.plane, self.width)
+        if self.measure == "mean":
+            return mean
+        if self.measure == "contrast":
+            return own - mean
+        return np.sqrt(np.maximum(gaussian(own * own, self.width) - mean * mean, 0))
+
 
+class Planes(dict):
+    """The planes of an image [3, row, col] of 0 to 255, each made when it is asked for, and what features share."""
 
-def coherence(dx: np.ndarray, dy: np.ndarray, sigma: float) -> np.ndarray:
-    """How far gradients agree in direction, 0 to 1."""
-    xx, yy, xy = gaussian(dx * dx, sigma), gaussian(dy * dy, sigma), gaussian(dx * dy, sigma)
-    return np.sqrt((xx - yy) ** 2 + 4 * xy * xy) / (xx + yy + 1e-6)
+    def __init__(self, rgb: np.ndarray):
+        super().__init__()
+        self.rgb, self.means = rgb.astype(np.float64) / 255, {}
+
+    def __missing__(self, name: str) -> np.ndarray:
+        self[name] = PLANES[name](*self.rgb)
+        return self[name]
+
+    def mean(self, name: str, width: float) -> np.ndarray:
+        if (name, width) not in self.means:
+            self.means[name, width] = gaussian(self[name], width)
+        return self.means[name, width]
+
+    def lines(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """The squared gradient of the smoothed plane as a complex number, and its power."""
+        down, right = np.gradient(self.mean(name, 1))
+        return (right + 1j * down) ** 2, right**2 + down**2
+
+
+# Widths in pixels of the fine texture, of the alignment and of the context.
+FINE, ALIGNMENT, WIDE = (1, 3, 6), 5, (10, 20)
+#: The features of every pixel, and those of its context.
+OWN = (
+    *(Feature(p) for p in ("light", "greenness", "saturation", "r", "g", "b", "r_share", "b_share")),
+    *(Feature(p, m, w) for m in ("mean", "spread") for p in ("greenness", "light") for w in FINE),
+    Feature("greenness", "alignment", ALIGNMENT),
+)
+CONTEXT = tuple(Feature(p, m, w) for p, m in (("plant", "mean"), ("greenness", "mean"), ("greenness", "contrast"), ("light", "contrast"), ("greenness", "alignment")) for w in WIDE)
+
+
+def table(context: bool = False) -> tuple[Feature, ...]:
+    return OWN + CONTEXT if context else OWN
 
 
 def features(rgb: np.ndarray, context: bool = False) -> np.ndarray:
-    """[feature, row, col] of an image [3, row, col] of 0 to 255: 8 of colour, 12 of texture, 1 of orientation, 10 of context."""
-    rgb = rgb.astype(np.float64) / 255
-    red, green, blue = rgb
-    whole, high, low = rgb.sum(axis=0) + 1e-6, rgb.max(axis=0), rgb.min(axis=0)
-    exg, bright = (2 * green - red - blue) / whole, whole / 3
-    out = [red, green, blue, red / whole, blue / whole, exg, bright, (high - low) / (high + 1e-6)]
-    for sigma in TEXTURE:
-        for band in (exg, bright):
-            mean = gaussian(band, sigma)
-            out += [mean, np.sqrt(np.maximum(gaussian(band**2, sigma) - mean**2, 0))]
-    dy, dx = np.gradient(gaussian(exg, 1))
-    out.append(coherence(dx, dy, ORIENTATION))
-    for sigma in CONTEXT if context else ():
-        around = gaussian(exg, sigma)
-        out += [coherence(dx, dy, sigma), gaussian((exg > GREEN).astype(float), sigma), around, exg - around, bright - gaussian(bright, sigma)]
-    return np.stack(out)
+    """[feature, row, col], in the order of ``table``."""
+    planes = Planes(rgb)
+    return np.stack([f.of(planes) for f in table(context)])
+
+
+SCHEMA = "path string, row_off int, col_off int, h int, w int, features array<binary>"
 
 
 def tile_features(tiles: DataFrame, size: int, context: bool = False) -> DataFrame:
@@ -47,7 +111,7 @@ def tile_features(tiles: DataFrame, size: int, context: bool = False) -> DataFra
 
     Tiles lie on a grid of ``size``; each is sent to its eight neighbours, so a task sees nine tiles at once.
     """
-    halo = CONTEXT_HALO if context else HALO
+    halo = max(f.reach() for f in table(context))
     if size < halo:
         raise ValueError(f"tiles of {halo} pixels at least are needed")
 

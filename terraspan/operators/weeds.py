@@ -12,7 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraspan.functions.kernels import close, components
+from terraspan.storage import stored
+
+from .patches import components
 
 # Regularisation of the colour covariance; the accepted false positives, mean and worst, and the least recall to publish.
 RIDGE, MAX_FP_MEAN, MAX_FP_WORST, LEAST_RECALL = (1e-5, 1e-5, 5e-5), 0.03, 0.10, 0.35
@@ -47,7 +49,7 @@ def fit_colour(pixels: DataFrame, bands: list[str], quantile: float = 0.9) -> Co
     return ColourModel(model.mean, model.inverse, float(cutoff))
 
 
-PATCHES = "tile string, label long, pixels long, row0 long, col0 long, row1 long, col1 long, score_sum double, elongation double, solidity double"
+PATCHES = "label long, pixels long, row0 long, col0 long, row1 long, col1 long, score_sum double, elongation double, solidity double"
 
 
 def _hull_area(points: np.ndarray) -> float:
@@ -68,25 +70,40 @@ def _hull_area(points: np.ndarray) -> float:
     return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)
 
 
-def _patches(tile: pd.DataFrame) -> pd.DataFrame:
-    r0, c0 = tile["row"].min(), tile["col"].min()
-    score = np.zeros((tile["row"].max() - r0 + 1, tile["col"].max() - c0 + 1))
-    mask = np.zeros(score.shape, bool)
-    score[tile["row"] - r0, tile["col"] - c0] = tile["score"]
-    mask[tile["row"] - r0, tile["col"] - c0] = tile["hit"]
-    labels, n = components(close(mask))
-    out = []
-    for i in range(1, n + 1):
-        points = np.argwhere(labels == i)
-        spread = np.linalg.eigvalsh(np.cov(points.T) + np.eye(2) / 12) if len(points) > 1 else np.ones(2)
-        low, high = points.min(axis=0), points.max(axis=0)
-        out.append((tile["tile"].iloc[0], i, len(points), low[0] + r0, low[1] + c0, high[0] + r0, high[1] + c0, float(score[tuple(points.T)].sum()), float((spread[1] / spread[0]) ** 0.5), len(points) / _hull_area(points)))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in PATCHES.split(", ")])
-
-
-def patches(scored: DataFrame) -> DataFrame:
-    """Connected candidates of each tile (tile, row, col, score, hit): size, box, score, elongation and solidity. A tile has a bounded number of pixels."""
-    return scored.select("tile", "row", "col", "score", "hit").groupBy("tile").applyInPandas(_patches, PATCHES)
+def _measured(patch: pd.DataFrame) -> pd.DataFrame:
+    """Size, box, score and shape of one patch."""
+    points = patch[["row", "col"]].to_numpy()
+    spread = np.linalg.eigvalsh(np.cov(points.T) + np.eye(2) / 12) if len(points) > 1 else np.ones(2)
+    (r0, c0), (r1, c1) = points.min(axis=0), points.max(axis=0)
+    row = (patch["label"].iloc[0], len(points), r0, c0, r1, c1, float(patch["score"].sum()), float((spread[1] / spread[0]) ** 0.5), len(points) / _hull_area(points))
+    return pd.DataFrame([row], columns=[c.split()[0] for c in PATCHES.split(", ")])
+
+
+def patches(scored: DataFrame, tile: int = 512, most: int = 1_000_000) -> DataFrame:
+    """Connected candidates of a raster (row, col, score, hit), closed by a cross of one pixel: size, box, score, elongation and solidity.
+
+    Patches are found across tiles. Those of more than ``most`` pixels are no
+    candidates of any filter here and get their size, box and score alone, by
+    aggregation, with no shape: no task holds one.
+    """
+    hits = scored.filter("hit").select("row", "col")
+    closed = closing(hits)
+    labelled = stored(components(closed, tile).join(scored.select("row", "col", "score"), ["row", "col"], "left").na.fill(0.0, ["score"]), "labelled")
+    sizes = labelled.groupBy("label").agg(
+        F.count(F.lit(1)).alias("pixels"), F.min("row").alias("row0"), F.min("col").alias("col0"), F.max("row").alias("row1"), F.max("col").alias("col1"), F.sum("score").alias("score_sum")
+    )
+    small = labelled.join(sizes.filter(F.col("pixels") <= most).select("label"), "label", "left_semi")
+    large = sizes.filter(F.col("pixels") > most).withColumns({"elongation": F.lit(None).cast("double"), "solidity": F.lit(None).cast("double")})
+    return small.groupBy("label").applyInPandas(_measured, PATCHES).unionByName(large)
+
+
+def closing(pixels: DataFrame) -> DataFrame:
+    """Pixels (row, col) grown by a cross of one pixel and shrunk again, over the whole raster."""
+    cross = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))])
+    spread = lambda df: df.withColumn("_o", F.explode(cross)).select((F.col("row") + F.col("_o.r")).alias("row"), (F.col("col") + F.col("_o.c")).alias("col"))
+    grown = spread(pixels.distinct()).distinct()
+    # a pixel stays where its whole cross has grown
+    return spread(grown).groupBy("row", "col").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 5").select("row", "col")
 
 
 def acceptable(found: DataFrame, pixel_area: float, least: float = 0.03, most: float = 1.5, elongation: float = 2.5, solidity: float = 0.55) -> DataFrame:

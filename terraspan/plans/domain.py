@@ -58,6 +58,8 @@ def with_views(sql: str) -> str:
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     heads = [f"{n} AS ({re.sub(r'[{}]', '', VIEWS[n].replace('{first}', _first('duckdb')))})" for n in used]
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(heads)}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {', '.join(heads)}, {body[5:]}"
     return f"WITH {', '.join(heads)} {body}" if heads else body

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraspan.functions import affine, detections as d, geometry as g, indices
-from terraspan.operators import nms, overlay, raster, sequences, spatial
+from terraspan.operators import nms, overlay, raster, sequences, spatial, weeds
+from terraspan.sources import vector
 
 from .domain import view, with_views
 
@@ -159,19 +160,48 @@ WEEDS = f"""WITH dp AS (SELECT *, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, lower(
     n AS (SELECT name, ord, CASE WHEN tri THEN 11250.0 ELSE 22500.0 END AS area, malezas, cultivo FROM c)"""
 
 
-def weeds_by_parcel(spark, sf_dir):
+def weeds_by_parcel(spark, sf_dir, only=None):
+    """Weeds and crops in each parcel and whether the data set has crops; ``only`` restricts the classes."""
     parcels = view(spark, sf_dir, "parcels").withColumn("area", g.area(F.col("ring")))
-    points = view(spark, sf_dir, "detections").select("class", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), d.is_weed_name(F.col("class")).alias("weed"))
-    # the flags of the whole data set decide how names are split; here weed names are present
+    found = view(spark, sf_dir, "detections")
+    found = found if only is None else found.filter(F.col("class").isin(*only))
+    weed, has_crop = d.weed_split(found)
+    points = found.select("class", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), weed.alias("weed"))
     inside = spatial.points_within(points, parcels.select("name", "ring"), CELL).groupBy("name").agg(F.count_if("weed").alias("malezas"), F.count_if(~F.col("weed")).alias("cultivo"))
-    return parcels.select("name", "ord", "area").join(inside, "name", "left").na.fill(0, ["malezas", "cultivo"])
+    return parcels.select("name", "ord", "area").join(inside, "name", "left").na.fill(0, ["malezas", "cultivo"]), has_crop
+
+
+def weed_result(spark, sf_dir, only=None):
+    found, has_crop = weeds_by_parcel(spark, sf_dir, only)
+    ratio = d.weed_coverage(F.col("malezas"), F.col("cultivo"), F.col("area"), has_crop)
+    return found.select("name", "area", "malezas", "cultivo", F.round(ratio, 12).alias("cobertura"), d.infestation_class(ratio).alias("infestacion"))
+
+
+def weed_sql(only, weed, has_crop):
+    ratio = "malezas / nullif(CAST(malezas + cultivo AS DOUBLE), 0)" if has_crop else "malezas / area"
+    chosen = "WHERE class IN (" + ", ".join(f"'{c}'" for c in only) + ")" if only else ""
+    return f"""WITH dp AS (SELECT *, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, {weed} AS weed FROM detections {chosen}),
+        c AS (SELECT name, tri, count(*) FILTER (weed) AS malezas, count(*) FILTER (NOT weed) AS cultivo FROM parcels LEFT JOIN dp ON {INSIDE} GROUP BY name, tri),
+        n AS (SELECT name, CAST(CASE WHEN tri THEN 11250.0 ELSE 22500.0 END AS DOUBLE) AS area, malezas, cultivo FROM c), k AS (SELECT *, {ratio} AS v FROM n)
+        SELECT name, area, malezas, cultivo, round(v, 12) AS cobertura, CASE WHEN v IS NULL THEN 'Sin datos' WHEN v < 0.1 THEN 'Baja' WHEN v < 0.3 THEN 'Media' ELSE 'Alta' END AS infestacion FROM k"""
+
+
+@query(weed_sql(("Maleza", "weed"), "true", False))
+def weeds_only_by_area(spark, sf_dir):
+    """A data set of weeds alone: coverage is weeds a square metre."""
+    return weed_result(spark, sf_dir, ("Maleza", "weed"))
+
+
+@query(weed_sql(("crop", "planta"), "class <> 'crop'", True))
+def weeds_by_exclusion(spark, sf_dir):
+    """No weed names: what isn't crop is weed."""
+    return weed_result(spark, sf_dir, ("crop", "planta"))
 
 
 @query(WEEDS + """ SELECT name, malezas, cultivo, round(malezas / nullif(CAST(malezas + cultivo AS DOUBLE), 0), 9) AS cobertura, CASE WHEN malezas + cultivo = 0 THEN 'Sin datos'
     WHEN malezas / CAST(malezas + cultivo AS DOUBLE) < 0.1 THEN 'Baja' WHEN malezas / CAST(malezas + cultivo AS DOUBLE) < 0.3 THEN 'Media' ELSE 'Alta' END AS infestacion FROM n""")
 def weed_coverage_class(spark, sf_dir):
-    ratio = F.try_divide(F.col("malezas"), F.col("malezas") + F.col("cultivo"))
-    return weeds_by_parcel(spark, sf_dir).select("name", "malezas", "cultivo", r9(ratio).alias("cobertura"), d.infestation_class(ratio).alias("infestacion"))
+    return weed_result(spark, sf_dir).select("name", "malezas", "cultivo", r9(F.col("cobertura")).alias("cobertura"), "infestacion")
 
 
 @query(WEEDS + """, k AS (SELECT *, malezas / area AS dens, row_number() OVER (ORDER BY malezas / area NULLS LAST, ord) / CAST(count(*) OVER () AS DOUBLE) AS share FROM n)
@@ -179,7 +209,7 @@ def weed_coverage_class(spark, sf_dir):
     CASE WHEN share <= 1/3.0 THEN '#1a9641' WHEN share <= 2/3.0 THEN '#fdae61' ELSE '#d7191c' END AS color_hex FROM k""")
 def infestation_rank_class(spark, sf_dir):
     dens = d.density(F.col("malezas"), F.col("area"))
-    out = weeds_by_parcel(spark, sf_dir).withColumn("clase", d.ranked_class(dens, F.col("ord"), ("Baja", "Media", "Alta"), False))
+    out = weeds_by_parcel(spark, sf_dir)[0].withColumn("clase", d.ranked_class(dens, F.col("ord"), ("Baja", "Media", "Alta"), False))
     return out.select("name", F.round(dens, 12).alias("densidad"), "clase", d.colour(F.col("clase")).alias("color_hex"))
 
 
@@ -221,25 +251,42 @@ def bbox_overlay_intersection(spark, sf_dir):
     return spatial.overlay_boxes(view(spark, sf_dir, "detections"), view(spark, sf_dir, "labels_boxes"), 50.0).select("id", "lid", "overlap")
 
 
-@query(OVERLAY + """, s AS (SELECT lid, least(100.0, 100 * max((ix2 - ix1) * (iy2 - iy1) / larea)) AS pct FROM o GROUP BY lid), a AS (SELECT lid, coalesce(pct, 0) AS pct FROM labels_boxes LEFT JOIN s USING (lid))
+# boxes have whole corners, so a label's covered part is a number of unit cells
+@query(OVERLAY + """, b AS (SELECT DISTINCT lid, larea, ix1, iy1, ix2, iy2 FROM o), u AS (SELECT DISTINCT lid, larea, unnest(range(CAST(ix1 AS BIGINT), CAST(ix2 AS BIGINT))) AS x, iy1, iy2 FROM b),
+    c AS (SELECT DISTINCT lid, larea, x, unnest(range(CAST(iy1 AS BIGINT), CAST(iy2 AS BIGINT))) AS y FROM u), s AS (SELECT lid, 100.0 * count(*) / larea AS pct FROM c GROUP BY lid, larea),
+    a AS (SELECT lid, coalesce(pct, 0) AS pct FROM labels_boxes LEFT JOIN s USING (lid))
     SELECT lid, round(pct, 9) AS cobertura_pct, CASE WHEN pct = 0 THEN 'Omitida' WHEN pct < 50 THEN 'Parcial' ELSE 'Mayormente cubierta' END AS resultado FROM a""")
 def coverage_evaluation(spark, sf_dir):
+    """How much of each label the union of the detections covers."""
     labels = view(spark, sf_dir, "labels_boxes")
     size = (F.col("rx2") - F.col("rx1")) * (F.col("ry2") - F.col("ry1"))
-    best = spatial.overlay_boxes(view(spark, sf_dir, "detections"), labels, 50.0).groupBy("lid").agg(F.least(F.lit(100.0), 100 * F.max(F.col("overlap") / size)).alias("pct"))
-    out = labels.select("lid").join(best, "lid", "left").withColumn("pct", F.coalesce("pct", F.lit(0.0)))
+    met = spatial.covered_area(labels, view(spark, sf_dir, "detections"), "lid", 50.0)
+    out = labels.join(met, "lid", "left").withColumn("pct", F.coalesce(100 * F.col("covered") / size, F.lit(0.0)))
     return out.select("lid", r9(F.col("pct")).alias("cobertura_pct"), d.coverage_result(F.col("pct")).alias("resultado"))
 
 
-@query()
+# rounds over all boxes that overlap others: 1 stays, -1 goes, 0 isn't decided
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT a.id AS hi, b.id AS lo FROM detections a JOIN detections b ON a.class = b.class AND (a.conf > b.conf OR (a.conf = b.conf AND a.id > b.id))
+      AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2
+      WHERE (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
+        - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) > 0.45),
+    r AS (SELECT 0 AS k, id, 0 AS st FROM (SELECT hi AS id FROM e UNION SELECT lo FROM e)
+      UNION ALL SELECT k + 1, id, CASE WHEN st <> 0 THEN st WHEN above IS NULL OR (above = -1 AND low = -1) THEN 1 WHEN above = 1 THEN -1 ELSE 0 END FROM
+      (SELECT r.k, r.id, r.st, max(h.st) AS above, min(h.st) AS low, min(min(abs(r.st))) OVER () AS left_over FROM r LEFT JOIN e ON e.lo = r.id LEFT JOIN r h ON h.id = e.hi GROUP BY r.k, r.id, r.st) WHERE left_over = 0)
+    SELECT id, class, conf FROM detections WHERE id NOT IN (SELECT id FROM r WHERE st = -1)""")
 def nms_kept(spark, sf_dir):
     return nms.suppress(view(spark, sf_dir, "detections"), 0.45, 50.0).select("id", "class", "conf")
 
 
-@query("SELECT avg(score) AS mean, round(covar_samp(score, CAST(grp AS DOUBLE)), 9) AS cov, round(var_samp(score) + 1e-5, 9) AS var_reg, round(quantile_cont(score, 0.9), 9) AS p90 FROM scored".replace("avg(score)", "round(avg(score), 9)"))
+@query("""WITH m AS (SELECT avg(red) AS mr, avg(green) AS mg, var_samp(red) + 1e-5 AS a, covar_samp(red, green) AS b, var_samp(green) + 1e-5 AS c FROM pixels),
+    k AS (SELECT (c * (red - mr) ** 2 - 2 * b * (red - mr) * (green - mg) + a * (green - mg) ** 2) / (a * c - b * b) AS dist, mr, mg FROM pixels, m)
+    SELECT round(min(mr), 9) AS mean_red, round(min(mg), 9) AS mean_green, round(quantile_cont(dist, 0.9), 6) AS cutoff, count(*) FILTER (round(dist, 6) <= 2) AS near FROM k""")
 def reference_colour_fit(spark, sf_dir):
-    s = view(spark, sf_dir, "scored")
-    return s.agg(r9(F.avg("score")).alias("mean"), r9(F.covar_samp("score", F.col("grp").cast("double"))).alias("cov"), r9(F.var_samp("score") + 1e-5).alias("var_reg"), r9(F.percentile("score", 0.9)).alias("p90"))
+    p = view(spark, sf_dir, "pixels")
+    model = weeds.fit_colour(p, ["red", "green"])
+    near = F.count_if(F.round(model.distance(F.col("red"), F.col("green")), 6) <= 2).alias("near")
+    mean = [F.round(F.lit(float(v)), 9).alias(n) for v, n in zip(model.mean, ("mean_red", "mean_green"), strict=True)]
+    return p.agg(near).select(*mean, F.round(F.lit(model.cutoff), 6).alias("cutoff"), "near")
 
 
 @query("""WITH k AS (SELECT score, y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM scored)
@@ -260,10 +307,7 @@ def threshold_sweep(spark, sf_dir):
 
 @query("""WITH w AS (SELECT vec_id, 1.0 / count(*) OVER (PARTITION BY grp) AS w FROM scored) SELECT vec_id, round(w / avg(w) OVER (), 9) AS weight FROM w""")
 def balanced_weights(spark, sf_dir):
-    s = view(spark, sf_dir, "scored")
-    counts = s.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"))  # the mean weight is groups / rows
-    return s.join(counts, "grp").crossJoin(whole).select("vec_id", r9(F.lit(1.0) / F.col("n") * F.col("rows") / F.col("groups")).alias("weight"))
+    return weeds.balanced(view(spark, sf_dir, "scored"), "grp").select("vec_id", r9(F.col("weight")).alias("weight"))
 
 
 @query("""WITH m AS (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS a FROM signal WINDOW w AS (PARTITION BY line ORDER BY pos)) SELECT line, pos, v FROM m WHERE v > b AND v > a""")
@@ -325,10 +369,12 @@ def near_join(spark, sf_dir):
     return spatial.near(view(spark, sf_dir, "points"), others, 4.0).select("pid", "lid", r9(F.col("distance")).alias("distance"))
 
 
-@query("SELECT min(x0) AS minx, min(y0) AS miny, max(x0) + 150 AS maxx, max(y0) + 150 AS maxy, CAST(sum(CASE WHEN tri THEN 11250.0 ELSE 22500.0 END) AS DOUBLE) AS area_m2, CAST(sum(CASE WHEN tri THEN 1.125 ELSE 2.25 END) AS DOUBLE) AS area_ha, count(*) AS features FROM parcels")
+@query("""SELECT min(x0) AS minx, min(y0) AS miny, max(x0) + 150 AS maxx, max(y0) + 150 AS maxy, CAST(sum(CASE WHEN tri THEN 11250.0 ELSE 22500.0 END) AS DOUBLE) AS area_m2,
+    round(sum(CASE WHEN tri THEN 300 + sqrt(45000.0) ELSE 600 END), 6) AS perimeter_m, CAST(sum(CASE WHEN tri THEN 1.125 ELSE 2.25 END) AS DOUBLE) AS area_ha, count(*) AS features, 32720 AS srid,
+    'Polygon' AS kind, 'string' AS type_of_name FROM parcels""")
 def layer_metadata(spark, sf_dir):
-    boxed = view(spark, sf_dir, "parcels").select(*[c.alias(n) for n, c in zip(BOX, g.bounds(F.col("ring")), strict=True)], g.area(F.col("ring")).alias("area"))
-    return boxed.agg(F.min("x1").alias("minx"), F.min("y1").alias("miny"), F.max("x2").alias("maxx"), F.max("y2").alias("maxy"), F.sum("area").alias("area_m2"), (F.sum("area") / 10000).alias("area_ha"), F.count(F.lit(1)).alias("features"))
+    found = vector.layer_metadata(view(spark, sf_dir, "parcels").select("name", "grp", "ring"), 32720)
+    return found.withColumns({"perimeter_m": r9(F.col("perimeter_m"), 6), "type_of_name": F.col("fields")["name"]}).drop("fields")
 
 
 @query("""SELECT a."row", a.col FROM pixels a JOIN pixels b ON a."row" = b.col AND a.col = b."row" WHERE a.red >= 100 AND b.nir >= 30 AND a.red <> 255 AND b.nir <> 255""")
@@ -346,12 +392,12 @@ def rollup_report(spark, sf_dir):
     return parcels.join(counts, parcels["name"] == counts["id"]).rollup("grp", "name").agg(F.sum("n").alias("n"))
 
 
-@query("""WITH k AS (SELECT *, percentile_lo, percentile_hi FROM (SELECT CAST("row" / 250 AS BIGINT) AS tile, red FROM (SELECT floor("row" / 250.0) * 250 AS "row", red FROM pixels)) p
-    JOIN (SELECT CAST(floor("row" / 250.0) AS BIGINT) AS tile, quantile_cont(red, 0.02) AS percentile_lo, quantile_cont(red, 0.98) AS percentile_hi FROM pixels GROUP BY 1) q USING (tile))
-    SELECT tile, CAST(sum(CAST(floor(greatest(0.0, least(1.0, (red - percentile_lo) / (percentile_hi - percentile_lo))) * 255) AS BIGINT)) AS BIGINT) AS total FROM k GROUP BY tile""")
+@query("""WITH p AS (SELECT CAST(floor("row" / 250.0) AS BIGINT) AS tile, red, nir FROM pixels), q AS (SELECT tile, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi
+      FROM (SELECT tile, red AS v FROM p UNION ALL SELECT tile, nir FROM p) GROUP BY tile), k AS (SELECT tile, floor(greatest(0.0, least(1.0, (red - lo) / (hi - lo))) * 255) AS a, floor(greatest(0.0, least(1.0, (nir - lo) / (hi - lo))) * 255) AS b FROM p JOIN q USING (tile))
+    SELECT tile, CAST(sum(a) AS BIGINT) AS red_total, CAST(sum(b) AS BIGINT) AS nir_total FROM k GROUP BY tile""")
 def tile_to_uint8(spark, sf_dir):
-    p = view(spark, sf_dir, "pixels").select(F.floor(F.col("row") / 250).alias("tile"), "red")
-    return raster.to_uint8(p, ["tile"], "red").groupBy("tile").agg(F.sum("u8").alias("total"))
+    p = view(spark, sf_dir, "pixels").select(F.floor(F.col("row") / 250).alias("tile"), "red", "nir")
+    return raster.to_uint8(p, ["tile"], ["red", "nir"]).groupBy("tile").agg(F.sum("red_u8").alias("red_total"), F.sum("nir_u8").alias("nir_total"))
 
 
 def label_shapes(spark, sf_dir):
@@ -391,3 +437,6 @@ def parcel_minus_core(spark, sf_dir):
     cores = view(spark, sf_dir, "parcels").select(F.array(g.ring((x, y), (x + 50, y), (x + 50, y + 50), (x, y + 50))).alias("rings"))
     pieces = overlay.differences(parcel_shapes(spark, sf_dir), cores, CELL)
     return pieces.groupBy("name").agg(r9(F.sum("area"), 6).alias("area"))
+
+
+from . import analysis, files  # noqa: E402, F401  they register further queries

@@ -7,6 +7,7 @@ Uncompressed and deflated data, with or without the horizontal predictor.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,7 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from terraspan import storage
 from terraspan.functions.affine import Affine
 
 from .vector import UnsupportedFormatError
@@ -116,6 +119,12 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_tiles, TILE_SCHEMA)
 
 
+def read_band(tiles: DataFrame, index: int) -> DataFrame:
+    """One band, counted from 1, as pixels: path, row, col, value; a band that a raster doesn't have is an error."""
+    band = F.when((F.lit(index) < 1) | (F.lit(index) > F.size("bands")), F.raise_error(F.lit(f"no band {index}"))).otherwise(F.get("bands", F.lit(index - 1)))
+    return pixels(tiles.withColumn("bands", F.array(band.cast("binary"))), 1).withColumnRenamed("b1", "value")
+
+
 def pixels(tiles: DataFrame, bands: int) -> DataFrame:
     """The pixel table: path, row, col, b1..bn."""
 
@@ -138,11 +147,79 @@ def _metadata(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 corners.append((a.a * col + a.b * row + a.c, a.d * col + a.e * row + a.f))
             xs, ys = zip(*corners, strict=True)
             crs = f"EPSG:{t.epsg}" if t.epsg else "Sin CRS definido"
-            rows.append((path, t.width, t.height, t.bands, crs, abs(a.a), abs(a.e), min(xs), min(ys), max(xs), max(ys), t.dtype.name, t.nodata, size))
-        yield pd.DataFrame(rows, columns=["path", "width", "height", "count", "crs", "res_x", "res_y", "minx", "miny", "maxx", "maxy", "dtype", "nodata", "bytes"])
+            rows.append((os.path.basename(path), path, t.width, t.height, t.bands, crs, abs(a.a), abs(a.e), min(xs), min(ys), max(xs), max(ys), t.dtype.name, t.nodata, size, [a.a, a.b, a.c, a.d, a.e, a.f]))
+        yield pd.DataFrame(rows, columns=["name", "path", "width", "height", "count", "crs", "res_x", "res_y", "minx", "miny", "maxx", "maxy", "dtype", "nodata", "bytes", "transform"])
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row a file; its type is that of the first band."""
-    schema = "path string, width long, height long, count long, crs string, res_x double, res_y double, minx double, miny double, maxx double, maxy double, dtype string, nodata double, bytes long"
+    schema = "name string, path string, width long, height long, count long, crs string, res_x double, res_y double, minx double, miny double, maxx double, maxy double, dtype string, nodata double, bytes long, transform array<double>"
     return spark.read.format("binaryFile").load(path).select("path", "length", "content").mapInPandas(_metadata, schema)
+
+
+def tiles_of(table: DataFrame, bands: list[str], width: int, height: int, size: int, fill: float) -> DataFrame:
+    """The tile table of a pixel table (row, col, bands): tiles of ``size``, clipped at the edges, ``fill`` where there is no pixel; tiles without any have no row."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(group["_r"].iloc[0]) * size, int(group["_c"].iloc[0]) * size
+        h, w = min(size, height - r0), min(size, width - c0)
+        out = []
+        for b in bands:
+            grid = np.full((h, w), fill)
+            grid[group["row"] - r0, group["col"] - c0] = group[b].fillna(fill)
+            out.append(grid.astype("<f8").tobytes())
+        return pd.DataFrame({"path": [""], "row_off": [r0], "col_off": [c0], "h": [h], "w": [w], "bands": [out]})
+
+    inside = table.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+    rows = inside.select("row", "col", *[F.col(b).cast("double").alias(b) for b in bands], F.floor(F.col("row") / size).alias("_r"), F.floor(F.col("col") / size).alias("_c"))
+    return rows.groupBy("_r", "_c").applyInPandas(run, TILE_SCHEMA)
+
+
+def write_geotiff(tiles: DataFrame, path: str, width: int, height: int, size: int, bands: int, t: Affine, dtype: str = "float32", nodata: float | None = None, epsg: int | None = None) -> None:
+    """A tiled, uncompressed BigTIFF of tiles on a grid of ``size`` (a multiple of 16), wherever Spark writes.
+
+    The driver writes tile by tile as they come in order; those that have no row
+    are NoData (or 0). All places in the file are known beforehand.
+    """
+    if size % 16:
+        raise ValueError("a tile's side is a multiple of 16")
+    kind = np.dtype(dtype).newbyteorder("<")
+    across, down = -(-width // size), -(-height // size)
+    each = size * size * bands * kind.itemsize
+    form = {"u": 1, "i": 2, "f": 3}[kind.kind]
+    fields = [
+        (WIDTH, "I", [width]), (HEIGHT, "I", [height]), (BITS, "H", [8 * kind.itemsize] * bands), (COMPRESSION, "H", [1]), (262, "H", [1]), (SAMPLES, "H", [bands]), (PLANAR, "H", [1]),
+        (TILE_W, "I", [size]), (TILE_H, "I", [size]), (TILES, "Q", [0] * (across * down)), (TILE_SIZES, "Q", [each] * (across * down)), (FORMAT, "H", [form] * bands),
+        (MATRIX, "d", [t.a, t.b, 0.0, t.c, t.d, t.e, 0.0, t.f, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]),
+    ]
+    fields += [(GEOKEYS, "H", [1, 1, 0, 1, 3072, 0, 1, epsg])] if epsg else []
+    fields += [(NODATA, "s", f"{nodata:g}\0".encode())] if nodata is not None else []
+    codes = {"H": 3, "I": 4, "Q": 16, "d": 12, "s": 2}
+    width_of = lambda kind, values: len(values) if kind == "s" else struct.calcsize(f"<{len(values)}{kind}")
+    extra_at = 16 + 8 + 20 * len(fields) + 8
+    first = extra_at + sum(width_of(k, v) for _, k, v in fields if width_of(k, v) > 8)
+    entries, extra = b"", b""
+    for tag, k, values in sorted(fields):
+        values = [first + i * each for i in range(len(values))] if tag == TILES else values
+        data = values if k == "s" else struct.pack(f"<{len(values)}{k}", *values)
+        entries += struct.pack("<HHQ", tag, codes[k], len(values)) + (data.ljust(8, b"\0") if len(data) <= 8 else struct.pack("<Q", extra_at + len(extra)))
+        extra += b"" if len(data) <= 8 else data
+    head = b"II" + struct.pack("<HHHQ", 43, 8, 0, 16) + struct.pack("<Q", len(fields)) + entries + struct.pack("<Q", 0) + extra
+    blank = np.full((size, size, bands), nodata or 0, kind).tobytes()
+
+    def parts() -> Iterator[bytes]:
+        yield head
+        done = 0
+        for r in tiles.select("row_off", "col_off", "h", "w", "bands").orderBy("row_off", "col_off").toLocalIterator(prefetchPartitions=True):
+            place = r["row_off"] // size * across + r["col_off"] // size
+            for _ in range(done, place):
+                yield blank
+            grid = np.full((size, size, bands), nodata or 0, kind)
+            for i in range(bands):
+                grid[: r["h"], : r["w"], i] = np.frombuffer(r["bands"][i], "<f8").reshape(r["h"], r["w"])
+            yield grid.tobytes()
+            done = place + 1
+        for _ in range(done, across * down):
+            yield blank
+
+    storage.write_bytes(tiles.sparkSession, path, parts())

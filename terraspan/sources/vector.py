@@ -179,3 +179,24 @@ def read_vector(spark: SparkSession, path: str, properties: str = "name:string")
     if lower.endswith(".gpkg"):
         return read_geopackage(spark, path)
     raise UnsupportedFormatError(f"{path}: one of {', '.join(EXTENSIONS)} is needed")
+
+
+def layer_metadata(layer: DataFrame, srid: int | None) -> DataFrame:
+    """One row: features, bounds, area and perimeter of a layer (ring and attributes) in metres, its srid, the first kind if it has one, and its fields with their types.
+
+    Rings in degrees (4326) are measured in the UTM zone of the middle of the layer's bounds.
+    """
+    from terraspan.functions import geometry as g
+
+    boxed = layer.select(*[c.alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), g.bounds(F.col("ring")), strict=True)], "ring")
+    whole = boxed.agg(F.min("x1").alias("minx"), F.min("y1").alias("miny"), F.max("x2").alias("maxx"), F.max("y2").alias("maxy"), F.count(F.lit(1)).alias("features"))
+    ring = F.col("ring")
+    if srid == 4326:
+        rows = layer.select("ring").crossJoin(F.broadcast(whole.select(g.utm_epsg((F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2).alias("zone"))))  # one row
+        ring = g.project_ring(F.col("ring"), F.col("zone"))
+    else:
+        rows = layer.select("ring")
+    sums = rows.agg(F.sum(g.area(ring)).alias("area_m2"), F.sum(g.perimeter(ring)).alias("perimeter_m"))
+    fields = F.create_map(*[F.lit(x) for f in layer.schema.fields if f.name not in ("ring", "rings") for x in (f.name, f.dataType.simpleString())])
+    kind = layer.agg(F.first("kind", ignorenulls=True).alias("kind")) if "kind" in layer.columns else layer.agg(F.lit("Polygon").alias("kind"))
+    return whole.crossJoin(sums).crossJoin(kind).withColumns({"srid": F.lit(srid), "area_ha": F.col("area_m2") / 10_000, "fields": fields})

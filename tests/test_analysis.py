@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraspan.functions import geometry as g
+from terraspan.functions import kernels
 from terraspan.functions.affine import Affine
-from terraspan.operators import models, row_gaps, weeds
+from terraspan.operators import models, patches, row_gaps, weeds
 from terraspan.sources import config
 from terraspan.streaming import ingest
 
@@ -68,10 +69,30 @@ def test_patches_and_filters(spark):
     mask = np.zeros((30, 40), bool)
     mask[2:8, 2:8] = True
     mask[15, 1:38] = True
-    rows = [("t", int(y), int(x), 0.9, bool(mask[y, x])) for y in range(30) for x in range(40)]
-    found = weeds.patches(spark.createDataFrame(rows, "tile string, row long, col long, score double, hit boolean"))
+    mask[20:23, 30:34] = True
+    mask[21, 31] = False  # closed again
+    rows = [(int(y), int(x), 0.9, bool(mask[y, x])) for y in range(30) for x in range(40)]
+    scored = spark.createDataFrame(rows, "row long, col long, score double, hit boolean")
+    found = weeds.patches(scored)
     good = weeds.acceptable(found, 0.01)
-    assert found.count() == 2 and [(r["pixels"], round(r["solidity"], 6)) for r in good.collect()] == [(36, 1.0)]
+    assert found.count() == 3 and sorted((r["pixels"], round(r["solidity"], 6)) for r in good.collect()) == [(12, 1.0), (36, 1.0)]
+    across = sorted(map(str, found.collect()))
+    for tile in (4, 7):  # patches don't end at the borders of tiles
+        assert sorted(map(str, weeds.patches(scored, tile).collect())) == across
+    bounded = {r["pixels"]: r["solidity"] for r in weeds.patches(scored, most=20).collect()}
+    assert bounded[36] is None and bounded[12] == 1.0
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_components_across_tiles(spark, diagonal):
+    rng = np.random.default_rng(4)
+    mask = rng.random((60, 70)) < (0.55 if not diagonal else 0.35)
+    want, n = kernels.components(mask, diagonal)
+    df = spark.createDataFrame([(int(y) - 20, int(x) - 10) for y, x in np.argwhere(mask)], "row long, col long")
+    got = {(r["row"] + 20, r["col"] + 10): r["label"] for r in patches.components(df, 8, diagonal).collect()}
+    assert len(got) == mask.sum() and len(set(got.values())) == n
+    assert len({(want[p], label) for p, label in got.items()}) == n
+    assert patches.components(df.limit(0), 8).count() == 0
 
 
 def test_forest_never_sees_the_group_it_scores(spark):

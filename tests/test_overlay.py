@@ -92,7 +92,15 @@ def test_features_do_not_depend_on_the_tiling(spark):
     ]
     df = spark.createDataFrame(tiles, "path string, row_off int, col_off int, h int, w int, bands array<binary>")
     whole = texture.features(image)
-    assert len(whole) == texture.BASE and len(texture.features(image, context=True)) == texture.BASE + texture.EXTRA
+    assert len(whole) == len(texture.OWN) == 21 and len(texture.features(image, context=True)) == len(texture.table(True)) == 31
+    named = dict(zip([f.name for f in texture.OWN], whole, strict=True))
+    r, g, b = image.astype(float) / 255
+    assert len(named) == 21 and np.allclose(named["greenness"], (2 * g - r - b) / (r + g + b + 1e-6)) and np.allclose(named["light"], (r + g + b) / 3, atol=1e-5)
+    flat = texture.features(np.full((3, 60, 60), 90.0))
+    assert np.allclose([p.std() for p in flat], 0, atol=1e-6) and np.allclose(dict(zip(named, flat, strict=True))["greenness_spread_3"], 0, atol=1e-6)
+    stripes = np.zeros((3, 80, 80))
+    stripes[1, :, ::2] = stripes[1, :, 1::8] = 200
+    assert dict(zip(named, texture.features(stripes), strict=True))["greenness_alignment_5"][20:60, 20:60].min() > 0.95
     found = texture.tile_features(df, size).collect()
     assert len(found) == 9
     for t in found:

@@ -126,5 +126,22 @@ def test_reports(spark, tmp_path):
     with pytest.raises(vector.UnsupportedFormatError):
         sinks.write_table(df, str(tmp_path / "r.pdf"))
     rows = spark.createDataFrame([(1, 2.5), (2, 4.0)], "surco_id int, long_m double")
-    assert sinks.write_run(str(tmp_path / "run"), {"surcos": rows, "fallas": rows.limit(0)}) == {"surcos": {"n": 2, "long_m": 6.5}, "fallas": {"n": 0, "long_m": 0.0}}
+    folder = f"file://{tmp_path}/run"
+    summary = {"surcos": {"n": 2, "long_m": 6.5}, "fallas": {"n": 0, "long_m": 0.0}}
+    assert sinks.write_run(folder, {"surcos": rows, "fallas": rows.limit(0)}) == {"folder": folder} | summary
+    assert json.loads((tmp_path / "run/resumen.json").read_text()) == summary
+    assert sinks.write_run(folder, {"surcos": rows})["folder"] == f"{folder}_2" and (tmp_path / "run_2/resumen.json").exists()
     assert not (tmp_path / "run/fallas").exists() and spark.read.parquet(str(tmp_path / "run/surcos")).agg(F.sum("long_m")).first()[0] == 6.5
+
+
+def test_reports_have_no_limit_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 1000)
+    rows = spark.range(2500).select(F.col("id").alias("a"), F.lit("x").alias("b"))
+    sinks.write_table(rows, str(tmp_path / "r.xlsx"))
+    with zipfile.ZipFile(tmp_path / "r.xlsx") as z:
+        assert [z.read(f"xl/worksheets/sheet{i}.xml").count(b"<row>") for i in (1, 2, 3)] == [1001, 1001, 501] and z.read("xl/workbook.xml").count(b"<sheet ") == 3
+    sinks.write_table(rows, str(tmp_path / "r.csv"))
+    assert len((tmp_path / "r.csv").read_text().splitlines()) == 2501
+    sinks.write_table(rows.limit(0), str(tmp_path / "none.xlsx"))
+    with zipfile.ZipFile(tmp_path / "none.xlsx") as z:
+        assert z.read("xl/worksheets/sheet1.xml").count(b"<row>") == 1
