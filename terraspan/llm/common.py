@@ -134,8 +134,8 @@ def screen(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return flagged(df, column, keys, "_may").filter("_may").drop("_may")
 
 
-#: Rows of a lookup table that are broadcast at most, at some 50 bytes each.
-LOOKUP_ROWS = 500_000
+#: Rows of a lookup table that are broadcast at most; the widest take 250 bytes each, 50 MB in all.
+LOOKUP_ROWS = 200_000
 
 
 def lookup(df: DataFrame) -> DataFrame:
