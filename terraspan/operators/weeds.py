@@ -52,8 +52,8 @@ def fit_colour(pixels: DataFrame, bands: list[str], quantile: float = 0.9) -> Co
 PATCHES = "label long, pixels long, row0 long, col0 long, row1 long, col1 long, score_sum double, elongation double, solidity double"
 
 
-def _hull_area(points: np.ndarray) -> float:
-    """Area of the convex hull of pixel squares."""
+def _hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of pixel squares, in order."""
     p = np.unique(np.concatenate([points + c for c in ((0, 0), (0, 1), (1, 0), (1, 1))]), axis=0)
     p = p[np.lexsort((p[:, 1], p[:, 0]))]
 
@@ -65,17 +65,27 @@ def _hull_area(points: np.ndarray) -> float:
             out.append(q)
         return out[:-1]
 
-    hull = np.array(half(p) + half(p[::-1]), float)
-    x, y = hull[:, 0], hull[:, 1]
-    return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)
+    return np.array(half(p) + half(p[::-1]), float)
 
 
-def _measured(patch: pd.DataFrame) -> pd.DataFrame:
-    """Size, box, score and shape of one patch."""
+def _sides(hull: np.ndarray) -> tuple[float, float]:
+    """(longer, shorter) side of the smallest rectangle, at any angle, around a convex hull; it lies along one of the hull's edges."""
+    edges = np.roll(hull, -1, axis=0) - hull
+    along = edges / np.linalg.norm(edges, axis=1, keepdims=True)
+    across = np.stack([-along[:, 1], along[:, 0]], axis=1)
+    a, b = np.ptp(hull @ along.T, axis=0), np.ptp(hull @ across.T, axis=0)
+    best = int(np.argmin(a * b))
+    return float(max(a[best], b[best])), float(min(a[best], b[best]))
+
+
+def measured(patch: pd.DataFrame) -> pd.DataFrame:
+    """Size, box, score and shape of one patch: the ratio of its smallest rectangle's sides, and its share of its convex hull."""
     points = patch[["row", "col"]].to_numpy()
-    spread = np.linalg.eigvalsh(np.cov(points.T) + np.eye(2) / 12) if len(points) > 1 else np.ones(2)
+    hull = _hull(points)
+    (longer, shorter), (x, y) = _sides(hull), hull.T
+    area = abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2
     (r0, c0), (r1, c1) = points.min(axis=0), points.max(axis=0)
-    row = (patch["label"].iloc[0], len(points), r0, c0, r1, c1, float(patch["score"].sum()), float((spread[1] / spread[0]) ** 0.5), len(points) / _hull_area(points))
+    row = (patch["label"].iloc[0], len(points), r0, c0, r1, c1, float(patch["score"].sum()), longer / shorter, len(points) / area)
     return pd.DataFrame([row], columns=[c.split()[0] for c in PATCHES.split(", ")])
 
 
@@ -94,7 +104,7 @@ def patches(scored: DataFrame, tile: int = 512, most: int = 1_000_000) -> DataFr
     )
     small = labelled.join(sizes.filter(F.col("pixels") <= most).select("label"), "label", "left_semi")
     large = sizes.filter(F.col("pixels") > most).withColumns({"elongation": F.lit(None).cast("double"), "solidity": F.lit(None).cast("double")})
-    return small.groupBy("label").applyInPandas(_measured, PATCHES).unionByName(large)
+    return small.groupBy("label").applyInPandas(measured, PATCHES).unionByName(large)
 
 
 def closing(pixels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from terraspan.functions import detections as d, geometry as g
-from terraspan.operators import overlay, patches, raster, rows, sequences, spatial, weeds
+from terraspan.operators import chips, interrow, neighbours, overlay, patches, raster, rows, sequences, spatial, weeds
 
 from .domain import view
 from .queries import CELL, INSIDE, T, pixel_points, query, r9
@@ -180,3 +180,44 @@ def traced_rows(spark, sf_dir):
     whole = names.select(F.col("parcela_id").alias("name")).join(count(found, "surcos"), "name", "left").join(count(gaps, "fallas"), "name", "left")
     return whole.na.fill(0, ["surcos", "fallas"])
 
+
+
+# places a third of a pixel off; missing pixels give their weight to the others
+@query("""WITH q AS (SELECT pid, y + 0.3 - 0.5 AS u, x + 0.45 - 0.5 AS v FROM points), f AS (SELECT pid, floor(u) AS r, floor(v) AS c, u - floor(u) AS a, v - floor(v) AS b FROM q),
+    k AS (SELECT pid, r + i AS r, c + j AS c, CASE WHEN i = 1 THEN a ELSE 1 - a END * CASE WHEN j = 1 THEN b ELSE 1 - b END AS w FROM f, (SELECT unnest([0, 0, 1, 1]) AS i, unnest([0, 1, 0, 1]) AS j))
+    SELECT pid, round(sum(w * red) / sum(w), 9) AS red, round(sum(w * nir) / sum(w), 9) AS nir FROM k JOIN pixels p ON p."row" = k.r AND p.col = k.c GROUP BY pid""")
+def bilinear_samples(spark, sf_dir):
+    places = view(spark, sf_dir, "points").select("pid", (F.col("y") + F.lit(0.3)).alias("row"), (F.col("x") + F.lit(0.45)).alias("col"))
+    return neighbours.bilinear(places, view(spark, sf_dir, "pixels"), ["pid"], ["red", "nir"]).select("pid", r9(F.col("red")).alias("red"), r9(F.col("nir")).alias("nir"))
+
+
+@query(f"""WITH RECURSIVE m AS MATERIALIZED ({CELLS}), e AS MATERIALIZED (SELECT a.r * 1000 + a.c AS a, b.r * 1000 + b.c AS b FROM m a JOIN (SELECT unnest([-1, 1, 0, 0]) AS dr, unnest([0, 0, -1, 1]) AS dc) o ON true JOIN m b ON b.r = a.r + o.dr AND b.c = a.c + o.dc),
+    t AS (SELECT r * 1000 + c AS v, r * 1000 + c AS root FROM m UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.v WHERE t.root < e.b), w AS (SELECT v, min(root) AS root FROM t GROUP BY v),
+    l AS (SELECT CAST(floor((y0 + 75) / 4) AS BIGINT) AS lr, CAST(x0 / 4 AS BIGINT) + i AS lc FROM parcels, (SELECT unnest(range(38)) AS i)),
+    n AS (SELECT m.r, m.c, min(sqrt((m.r - lr) ** 2 + (m.c - lc) ** 2)) * 0.02 AS d FROM m JOIN l ON lr BETWEEN m.r - 16 AND m.r + 16 AND lc BETWEEN m.c - 16 AND m.c + 16 GROUP BY m.r, m.c),
+    g AS (SELECT k, exp(-0.5 * (k / 10.0) ** 2) AS g FROM (SELECT unnest(range(-40, 41)) AS k)), h AS (SELECT k, g / sum(g) OVER () AS g FROM g),
+    x AS MATERIALIZED (SELECT r, c + k AS c, sum(g) AS s FROM (SELECT r, c FROM m UNION ALL SELECT r, -1 - c FROM m UNION ALL SELECT r, 499 - c FROM m) JOIN h ON c + k BETWEEN 0 AND 249 GROUP BY ALL),
+    y AS (SELECT m.r, m.c, sum(x.s * g) AS cover FROM (SELECT r, c, s FROM x UNION ALL SELECT -1 - r, c, s FROM x UNION ALL SELECT 499 - r, c, s FROM x) x JOIN m ON m.c = x.c JOIN h ON h.k = m.r - x.r GROUP BY m.r, m.c),
+    p AS (SELECT w.root, cover, coalesce(d > 0.14, true) AS far, coalesce(d BETWEEN 0.18 AND 0.30 AND cover < 0.60, false) AS ok FROM w JOIN m ON m.r * 1000 + m.c = w.v JOIN y ON y.r = m.r AND y.c = m.c LEFT JOIN n ON n.r = m.r AND n.c = m.c),
+    a AS (SELECT root, count(*) AS pixels, avg(CASE WHEN far THEN 1.0 ELSE 0 END) AS outside, avg(CASE WHEN ok THEN 1.0 ELSE 0 END) AS supported, avg(cover) AS coverage FROM p GROUP BY root)
+    SELECT root // 1000 AS "row", root % 1000 AS col, pixels, round(outside, 9) AS outside, round(supported, 9) AS supported, round(coverage, 6) AS coverage FROM a""")
+def plants_beside_rows(spark, sf_dir):
+    """Patches of bright cells beside lines through the parcels' middles, two hundredths of a metre a cell."""
+    at = lambda c: F.floor(F.col(c) / 4).alias(c)
+    cells = view(spark, sf_dir, "pixels").filter("red >= 120").select(at("row"), at("col")).distinct().withColumn("vegetation", F.lit(True))
+    x, y = F.col("x0") / 4, (F.col("y0") + 75) / 4
+    centres = interrow.line_pixels(view(spark, sf_dir, "parcels").select(g.ring((x, y), (x + 37.5, y)).alias("path")))
+    shares = interrow.patch_shares(interrow.observed(cells, centres, 0.02, 250, 250, 64), 64)[1]
+    row, col = F.floor(F.col("label") / (1 << 31)).alias("row"), (F.col("label") % (1 << 31)).alias("col")
+    return shares.select(row, col, "pixels", r9(F.col("outside")).alias("outside"), r9(F.col("supported")).alias("supported"), r9(F.col("coverage"), 6).alias("coverage"))
+
+
+# the chip's pixel centres lie off the parcels' edges: sides of 2.2 m a pixel around the centres of gravity
+@query(f"""WITH z AS (SELECT *, x0 + CASE WHEN tri THEN 50 ELSE 75 END - 88.0 AS west, y0 + CASE WHEN tri THEN 50 ELSE 75 END + 88.0 AS north FROM parcels), k AS (SELECT z.*, i, j, west + (j + 0.5) * 2.2 AS x, north - (i + 0.5) * 2.2 AS y FROM z, (SELECT unnest(range(80)) AS i), (SELECT unnest(range(80)) AS j))
+    SELECT name AS id, count(*) FILTER ({INSIDE}) AS labelled, min(i) FILTER ({INSIDE}) AS first_row, max(j) FILTER ({INSIDE}) AS last_col, round(any_value(west), 6) AS west, round(any_value(north), 6) AS north FROM k GROUP BY name""")
+def label_chip_masks(spark, sf_dir):
+    """Masks of 80 x 80 pixels around the parcels."""
+    found = chips.label_chips(view(spark, sf_dir, "parcels").select(F.col("name").alias("id"), F.array("ring").alias("rings")), 80, 2.2)
+    marks = found.select("id", "transform", F.posexplode(F.split(F.regexp_replace(F.hex("mask"), "(..)", "$1,"), ",")).alias("p", "mark")).filter("mark = '01'")
+    out = marks.groupBy("id", F.round(F.col("transform")[2], 6).alias("west"), F.round(F.col("transform")[5], 6).alias("north"))
+    return out.agg(F.count(F.lit(1)).alias("labelled"), F.min(F.floor(F.col("p") / 80)).alias("first_row"), F.max(F.col("p") % 80).cast("long").alias("last_col"))

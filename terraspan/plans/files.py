@@ -54,6 +54,15 @@ def geotiff_metadata(spark, sf_dir):
     return found.withColumn("origin_x", F.col("transform")[2]).drop("path", "bytes", "transform")
 
 
+@query('SELECT "row", col, round_even(red / 200 * 100, 0) AS score FROM pixels WHERE blue <= 50')
+def score_raster_round_trip(spark, sf_dir):
+    """Scores in hundredths as bytes; 255 is no score."""
+    path = folder(spark, "scores")
+    scored = view(spark, sf_dir, "pixels").select("row", "col", F.when(F.col("blue") <= 50, F.col("red") / 200).alias("vote"))
+    raster.write_scores(scored, "vote", f"{path}/puntuacion.tif", SIDE, SIDE, T, 32720)
+    return raster.read_band(raster.read_tiles(spark, path), 1).filter(F.col("value") != 255).select("row", "col", F.col("value").alias("score"))
+
+
 PARCEL_AREA = "CASE WHEN tri THEN 11250.0 ELSE 22500.0 END"
 
 

@@ -223,3 +223,10 @@ def write_geotiff(tiles: DataFrame, path: str, width: int, height: int, size: in
             yield blank
 
     storage.write_bytes(tiles.sparkSession, path, parts())
+
+
+def write_scores(scored: DataFrame, score: str, path: str, width: int, height: int, t: Affine, epsg: int | None = None, size: int = 256) -> None:
+    """A byte raster of scores from 0 to 1 (row, col, score) in hundredths; 255 where there is none."""
+    hundredths = F.when(F.isnan(score), None).otherwise(F.bround(F.col(score).cast("double") * 100, 0)).alias("score")
+    tiles = tiles_of(scored.select("row", "col", hundredths), ["score"], width, height, size, 255.0)
+    write_geotiff(tiles, path, width, height, size, 1, t, "uint8", 255, epsg)
