@@ -34,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordIds, ascii_words, flagged, materialize, mix64, screen, shingle_hashes, values
+from .common import GOLDEN, WordIds, ascii_words, flagged, lookup, materialize, mix64, screen, shingle_hashes, values
 
 BANDS, ROWS = 48, 5
 COORDINATES = BANDS * ROWS
 PERCENT = 75
 #: Coordinates of 8 bits that agree for any pair of the similarity, less five standard deviations.
 AGREE = int(COORDINATES * (0.75 - 5 * (0.75 * 0.25 / COORDINATES) ** 0.5))
+#: Pairs that meet one copy of a leader's set; beyond that, the leader's pairs are dealt over several copies.
+PAIRS_A_COPY = 1024
 #: Members of a bucket that one task compares with each other; larger ones are cut.
 BLOCK_MEMBERS = 2048
 #: Shingles of a chunk of a bucket, at 8 bytes each.
@@ -131,10 +133,18 @@ def element_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def verify(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``edges`` (a, b) whose full sets reach the similarity."""
+    """Those of ``edges`` (a, b) whose full sets reach the similarity.
+
+    A leader ``a`` of more than PAIRS_A_COPY pairs has its set repeated, once
+    for each PAIRS_A_COPY of them, so a group of any size is spread over tasks.
+    """
     sets = element_sets(edges.select(F.explode(F.array("a", "b")).alias("id")), docs)
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("elements").alias(f"e{x}")).hint("merge")  # noqa: E731  grows with the data
-    pairs = edges.join(side("b"), "b").join(side("a"), "a")
+    copies = F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("copies")
+    hot = lookup(materialize(edges.groupBy("a").agg(copies).filter("copies > 1"), "hot_leaders"))
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("elements").alias(f"e{x}"))
+    dealt = edges.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("copies")), F.lit(0)).cast("int").alias("copy"))
+    leaders = side("a").join(hot, "a", "left").select("a", "ea", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    pairs = dealt.join(side("b").hint("merge"), "b").join(leaders.hint("merge"), ["a", "copy"])  # both grow with the data
     return materialize(pairs.select("a", "b", "ea", "eb").mapInArrow(_linked, "a long, b long"), "links")
 
 

@@ -206,3 +206,15 @@ def test_equal_fragments_are_no_shared_bucket():
     group = pd.DataFrame(rows, columns=["key", "low", "high", "id", "component", "n", "chunk", "bits", "bands"])
     block = near_dedup._Block(group, first_band_only=True)
     assert sorted(map(tuple, block.edges(np.arange(len(block.a))).to_numpy().tolist())) == [(0, 1), (0, 2)]
+
+
+def test_pairs_of_a_hot_leader_are_dealt_over_copies_of_its_set(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    texts = {0: " ".join(words), 200: " ".join(f"v{i}" for i in range(40))} | {i: " ".join(words[: 60 - i % 30]) for i in range(1, 90)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    edges = spark.createDataFrame([(0, i) for i in range(1, 90)] + [(0, 200), (7, 200), (1, 31)], "a long, b long")
+    want = sorted([(0, i) for i in range(1, 90) if 100 * (56 - i % 30) >= 75 * 56] + [(1, 31)])
+    for most in (4, 1024):
+        monkeypatch.setattr(near_dedup, "PAIRS_A_COPY", most)
+        assert sorted(map(tuple, near_dedup.verify(edges, docs).collect())) == want
+    assert near_dedup.verify(edges.limit(0), docs).count() == 0
