@@ -89,3 +89,17 @@ def test_nearest_compares_places_not_rows(spark, monkeypatch):
     monkeypatch.setattr(spatial, "_unpacked", None)
     assert spatial.nearest(*tables(spark), "pid", 5.0).filter("distance is not null").count() == 11
     assert met[0].filter("x = 0 and ox = 1").count() == 1
+
+
+def test_nearest_distance_broadcasts_nothing(spark):
+    assert "BroadcastExchange" not in plan(QUERIES["nearest_distance"](spark, SF))
+
+
+def test_nearest_keeps_every_row(spark):
+    """Rows without a place or with nothing near stay, with null."""
+    points, others = tables(spark)
+    found = spatial.nearest(points, others, "pid", 5.0)
+    least = lambda x, y: min((d for _, ox, oy in OTHERS[:-2] if (d := math.hypot(x - ox, y - oy)) < 5), default=None)
+    assert found.columns == ["pid", "x", "y", "distance"]
+    assert {r["pid"]: r["distance"] for r in found.collect()} == {p: least(x, y) for p, x, y in POINTS[:-2]} | {90: None, 91: None}
+    assert found.count() == len(POINTS)
