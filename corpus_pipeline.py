@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terraspan import shipping
 from terraspan.llm import decontamination, langid, mixing, near_dedup, sharding
-from terraspan.llm.common import scratch, shared_path
+from terraspan.llm.common import bounded_batches, scratch, shared_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,8 +59,8 @@ def deal_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def shipped(stage: Stage) -> Stage:
-    """The stage, after the package has been sent to the executors."""
-    return lambda spark, docs, sf_dir: stage(shipping.ensure(spark), docs, sf_dir)
+    """The stage, after the package has been sent to the executors, with small batches for Python: its workers and what they were sent stay in memory through the later stages."""
+    return lambda spark, docs, sf_dir: stage(bounded_batches(shipping.ensure(spark)), docs, sf_dir)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -104,6 +104,23 @@ def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
 
 
+#: Bytes of rows that go to a Python worker at a time (Spark's own bound is 64 MB); a longer row goes alone.
+BATCH_BYTES = 2 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, handing rows to Python about BATCH_BYTES at a time unless it has a bound of its own.
+
+    A batch is held in the executor's direct memory and, read and written, in
+    the worker, for each running task, and neither gives all of it back. Which
+    rows share a batch makes no difference to any operator.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return spark
+
+
 #: Keys that a broadcast screen holds at most, at two bytes each.
 SCREEN_KEYS = 30_000_000
 _BITMAP = 32_768

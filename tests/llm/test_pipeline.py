@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 from terraspan.llm import common, decontamination, langid, near_dedup
 from terraspan.llm.oracles import ORACLES
 from terraspan.llm.queries import QUERIES
@@ -92,6 +93,26 @@ def test_stages_on_an_empty_table(spark, tmp_path):
         assert out.count() == 0 and (name == "sharding" or out.columns == docs.columns)
 
 
+def test_stages_hand_small_batches_to_python(spark):
+    """40 texts of 200 kB and one of 5 MB in one partition: no batch is much beyond the bound, whatever its rows; a session's own bound holds."""
+    docs = awkward(spark, [(i, "word " * (1_000_000 if i == 7 else 40_000), "en", "a", 0) for i in range(41)]).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.select([0]).append_column("bytes", pa.array([batch.nbytes] * len(batch), pa.int64()))
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    stage = corpus_pipeline.shipped(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "doc_id long, bytes long"))
+    spark.conf.unset(name)
+    of = {r["doc_id"]: r["bytes"] for r in stage(spark, docs, SF).collect()}
+    assert set(of) == set(range(41)) and of[7] < common.BATCH_BYTES + 5_250_000 and all(b < common.BATCH_BYTES + 250_000 for b in of.values() if b != of[7])
+    try:
+        spark.conf.set(name, "500000")
+        assert stage(spark, docs, SF).count() == 41 and spark.conf.get(name) == "500000"
+    finally:
+        spark.conf.unset(name)
+
+
 def test_scratch_tables_go(spark):
     with common.scratch(spark):
         path = common.shared_path(spark, "x")
